@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, simhash, suffix, urls
+from . import chat, embeddings, mixing, pii, simhash, suffix, tokenstore, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -41,6 +51,11 @@ def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render_blocks(chat.fold_events(events)))
 
 
+def op7_huffman_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenstore.store_documents(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return tokenstore.digests(tokenstore.read_store(spark, path))
+
+
 def op8_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.judge(_read(spark, sf_dir, "documents"))
 
@@ -49,7 +64,18 @@ def op9_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_reputation, op4_mix_sources, op5_simhash_anchor_points, op6_chat_events, op8_suffix_repetition, op9_disguised_pii)}
+QUERIES = {f.__name__: f for f in (op1_itq_near_duplicates, op3_url_reputation, op4_mix_sources, op5_simhash_anchor_points, op6_chat_events, op7_huffman_store, op8_suffix_repetition, op9_disguised_pii)}
+
+#: Brute force over all pairs of a label.
+OP1_SQL = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(id, node) as (select vec_id, vec_id from embeddings union select r.id, l.b from reach r join links l on r.node = l.a),
+n as (select a, count(*) as n from links group by a),
+c as (select id, min(node) as low from reach group by id)
+select c.id as vec_id, coalesce(n.n, 0)::bigint as n_links, c.low as component_id, c.id = c.low as kept from c left join n on c.id = n.a
+"""
 
 _HOST = "regexp_extract(after, '^[^/?#]*', 0)"
 OP3_SQL = rf"""
@@ -99,4 +125,4 @@ select conv_id, count(*)::bigint as n_turns,
 from c group by conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_url_reputation": OP3_SQL, "op4_mix_sources": OP4_SQL, "op6_chat_events": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_itq_near_duplicates": OP1_SQL, "op3_url_reputation": OP3_SQL, "op4_mix_sources": OP4_SQL, "op6_chat_events": OP6_SQL}
