@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, mixing, pii, simhash, suffix, tokenstore, urls
+from . import chat, embeddings, mixing, pieces, pii, simhash, suffix, tokenstore, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op1_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op2_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct segmentations of every text, with the crc32 of what each decodes to."""
+    model = _vocabulary("piece_bpe_32k.model")
+    return pieces.text_crc32(pieces.sample(_read(spark, sf_dir, "documents"), model), model)
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -64,7 +70,7 @@ def op9_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_itq_near_duplicates, op3_url_reputation, op4_mix_sources, op5_simhash_anchor_points, op6_chat_events, op7_huffman_store, op8_suffix_repetition, op9_disguised_pii)}
+QUERIES = {f.__name__: f for f in (op1_itq_near_duplicates, op2_gumbel_segmentations, op3_url_reputation, op4_mix_sources, op5_simhash_anchor_points, op6_chat_events, op7_huffman_store, op8_suffix_repetition, op9_disguised_pii)}
 
 #: Brute force over all pairs of a label.
 OP1_SQL = """
