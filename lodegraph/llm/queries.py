@@ -95,7 +95,22 @@ u as (select page_id, host, path,
 v as (select page_id, host, path, array_to_string(ps[-(case when two then 3 else 2 end):], '.') as domain, array_to_string(ps[-(case when two then 2 else 1 end):], '.') as suffix from u),
 outcomes as (select v.host, v.domain, v.suffix, case when l.quality = 0 or l.toxic = 1 then 1 else 0 end as bad from v join labels l on v.page_id = l.doc_id),
 hosts as (select distinct host, domain, suffix from v),
-rep as ({urls.REPUTATION_SQL.strip().replace("{outcomes}", "outcomes").replace("{hosts}", "hosts").replace("{strength}", urls.STRENGTH).replace("{z}", "1.645")}),
+h as (select host, min(domain) as domain, min(suffix) as suffix, count(*) as n, sum(bad) as b from outcomes group by host),
+d as (select domain, min(suffix) as suffix, sum(n) as n, sum(b) as b from h group by domain),
+s as (select suffix, sum(n) as n, sum(b) as b from d group by suffix),
+g as (select ((coalesce(sum(b), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0))::double as m from s),
+s0 as (select suffix, n, b, (select m from g) as m from s),
+ks as (select {urls.STRENGTH} as k from s0),
+s1 as (select suffix, (b + (select k from ks) * m) / (n + (select k from ks)) as post from s0),
+d0 as (select d.domain, d.n, d.b, s1.post as m from d join s1 on d.suffix = s1.suffix),
+kd as (select {urls.STRENGTH} as k from d0),
+d1 as (select domain, (b + (select k from kd) * m) / (n + (select k from kd)) as post from d0),
+h0 as (select h.host, h.n, h.b, d1.post as m from h join d1 on h.domain = d1.domain),
+kh as (select {urls.STRENGTH} as k from h0),
+a as (select x.host, coalesce(h0.n, 0) as n, coalesce(h0.b, 0) as b, coalesce(d1.post, s1.post, (select m from g)) as m
+  from hosts x left join h0 on x.host = h0.host left join d1 on x.domain = d1.domain left join s1 on x.suffix = s1.suffix),
+p as (select host, b + (select k from kh) * m as al, n - b + (select k from kh) * (1 - m) as be from a),
+rep as (select host, al / (al + be) - 1.645 * sqrt(al * be / ((al + be) * (al + be) * (al + be + 1))) as bad_bound from p),
 fit as (select v.page_id, rhost || rpath as rule, rverdict, row_number() over (partition by v.page_id order by length(rhost || rpath) desc, rverdict desc) as k
   from v join rules on (v.host = rhost or v.host like '%.' || rhost) and starts_with(v.path, rpath))
 select v.page_id, v.host, v.path, fit.rule, coalesce(fit.rverdict, case when rep.bad_bound > 0.5 then 'block' else 'allow' end) as verdict

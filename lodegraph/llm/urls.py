@@ -71,34 +71,35 @@ def with_rule(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return pages.join(found, "host", "left").withColumn("best", _best(F.filter("rules", lambda r: F.startswith(path, r.path)))).drop("rules")
 
 
-#: {outcomes}: host, domain, suffix, bad (0 or 1); {hosts}: host, domain, suffix. rho is the intra-class
-#: correlation at a level; its prior counts for 1 / rho - 1 pages.
-REPUTATION_SQL = """
-with h as (select host, min(domain) as domain, min(suffix) as suffix, count(*) as n, sum(bad) as b from {outcomes} group by host),
-d as (select domain, min(suffix) as suffix, sum(n) as n, sum(b) as b from h group by domain),
-s as (select suffix, sum(n) as n, sum(b) as b from d group by suffix),
-g as (select (coalesce(sum(b), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) as m from s),
-s0 as (select suffix, n, b, (select m from g) as m from s),
-ks as (select {strength} as k from s0),
-s1 as (select suffix, (b + (select k from ks) * m) / (n + (select k from ks)) as post from s0),
-d0 as (select d.domain, d.n, d.b, s1.post as m from d join s1 on d.suffix = s1.suffix),
-kd as (select {strength} as k from d0),
-d1 as (select domain, (b + (select k from kd) * m) / (n + (select k from kd)) as post from d0),
-h0 as (select h.host, h.n, h.b, d1.post as m from h join d1 on h.domain = d1.domain),
-kh as (select {strength} as k from h0),
-a as (select x.host, coalesce(h0.n, 0) as n, coalesce(h0.b, 0) as b, coalesce(d1.post, s1.post, (select m from g)) as m
-  from {hosts} x left join h0 on x.host = h0.host left join d1 on x.domain = d1.domain left join s1 on x.suffix = s1.suffix),
-p as (select host, n, b + (select k from kh) * m as al, n - b + (select k from kh) * (1 - m) as be from a)
-select host, n as labelled, al / (al + be) as bad_share,
-  al / (al + be) - {z} * sqrt(al * be / ((al + be) * (al + be) * (al + be + 1))) as bad_bound from p
-"""
+#: From n, b (pages and bad pages of a unit) and m (its prior mean): the prior's strength in pages, 1 / rho - 1
+#: with rho the intra-class correlation that the units' spread around their prior means shows.
 STRENGTH = "1.0 / greatest(0.01, least(0.5, coalesce(sum((b - n * m) * (b - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1.0) * m * (1 - m)), 0), 0.5))) - 1.0"
 
 
 def reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """``host, labelled, bad_share, bad_bound`` for each row of ``hosts`` (host, domain, suffix)."""
-    sql = REPUTATION_SQL.replace("{strength}", STRENGTH).replace("{z}", str(float(z)))
-    return hosts.sparkSession.sql(sql, hosts=hosts, outcomes=outcomes)
+    """``host, labelled, bad_share, bad_bound`` for each row of ``hosts`` (host, domain, suffix), from
+    ``outcomes`` (host, domain, suffix, bad: 0 or 1).
+
+    Each level is summed from the one below and written; the driver sees one number a level."""
+    sums = F.sum("n").alias("n"), F.sum("b").alias("b")
+    h = materialize(outcomes.groupBy("host").agg(F.min("domain").alias("domain"), F.min("suffix").alias("suffix"), F.count("*").alias("n"), F.sum("bad").alias("b")), "hosts")
+    d = materialize(h.groupBy("domain").agg(F.min("suffix").alias("suffix"), *sums), "domains")
+    s = materialize(d.groupBy("suffix").agg(*sums), "suffixes")
+    m = s.select(F.expr("(coalesce(sum(b), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0)").cast("double")).first()[0]
+
+    def shrunk(level: DataFrame, key: str) -> DataFrame:
+        k = float(level.select(F.expr(STRENGTH).cast("double")).first()[0])
+        return materialize(level.select(key, ((F.col("b") + k * F.col("m")) / (F.col("n") + k)).alias("post")), key)
+
+    s1 = shrunk(s.withColumn("m", F.lit(m)), "suffix")
+    d1 = shrunk(d.join(s1.withColumnRenamed("post", "m"), "suffix"), "domain")
+    h0 = materialize(h.join(d1.withColumnRenamed("post", "m"), "domain").select("host", "n", "b", "m"), "host-priors")
+    k = float(h0.select(F.expr(STRENGTH).cast("double")).first()[0])
+    a = hosts.join(h0.select("host", "n", "b"), "host", "left").join(d1.withColumnRenamed("post", "md"), "domain", "left").join(s1.withColumnRenamed("post", "ms"), "suffix", "left")
+    a = a.select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("md", "ms", F.lit(m)).alias("m"))
+    a = a.withColumns({"al": F.col("b") + k * F.col("m"), "be": F.col("n") - F.col("b") + k * (1 - F.col("m"))}).withColumn("all", F.col("al") + F.col("be"))
+    mean = F.col("al") / F.col("all")
+    return a.select("host", F.col("n").alias("labelled"), mean.alias("bad_share"), (mean - z * F.sqrt(F.col("al") * F.col("be") / (F.col("all") * F.col("all") * (F.col("all") + 1)))).alias("bad_bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", cutoff: float = 0.5, z: float = 1.645) -> DataFrame:
