@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, mixing, pieces, pii, simhash, suffix, tokenstore, urls
+from . import chat, embeddings, mixing, paragraphs, pieces, pii, simhash, suffix, tokenstore, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,7 +70,11 @@ def op9_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_itq_near_duplicates, op2_gumbel_segmentations, op3_url_reputation, op4_mix_sources, op5_simhash_anchor_points, op6_chat_events, op7_huffman_store, op8_suffix_repetition, op9_disguised_pii)}
+def op10_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.summary(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_itq_near_duplicates, op2_gumbel_segmentations, op3_url_reputation, op4_mix_sources, op5_simhash_anchor_points, op6_chat_events, op7_huffman_store, op8_suffix_repetition, op9_disguised_pii, op10_paragraph_banding)}
 
 #: Brute force over all pairs of a label.
 OP1_SQL = """
