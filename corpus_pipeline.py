@@ -1,10 +1,57 @@
-"""The corpus pipeline."""
-from lodegraph.llm import simhash
+"""The corpus pipeline: quality rules, near-duplicates, personal data, mixing, segmentation.
 
-def _simhash(spark, docs, sf_dir):
-    return docs
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows it gets; all but the last return the
+columns of ``docs``. Rows that share an id stay or go together. An empty table passes through as one.
+"""
 
-STAGES = [("simhash", _simhash)]
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodegraph.llm import mixing, pieces, pii, simhash, suffix
+from lodegraph.llm.common import materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules reject go."""
+    return suffix.filter_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    groups = simhash.near_duplicates(docs)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay"))
+    return docs.join(stay, docs.doc_id.eqNullSafe(stay.stay), "left_semi")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; ``n_chars`` follows."""
+    return pii.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix takes it."""
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    each = docs.join(copies, docs.doc_id.eqNullSafe(copies.taken_id))
+    return each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document."""
+    return pieces.sample(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality rules", quality), ("SimHash near-dedup", near_duplicates), ("PII", personal_data), ("mixing sources", mixture), ("SentencePiece", segmentation)]
+
+#: SQL has neither the fingerprints' XXH64 nor lattices.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on ``documents``, each one's rows written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)
