@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,19 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, chars: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``chars`` bytes of text each; a longer text is one by itself."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for hi, n in enumerate(size.tolist()):
+        if hi > lo and held + n > chars:
+            yield batch.slice(lo, hi - lo)
+            lo, held = hi, 0
+        held += n
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null becomes the empty string."""
     return [x or "" for x in column.to_pylist()]

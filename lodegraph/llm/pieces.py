@@ -33,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, text_slices
 
 _CHUNKS = re.compile(r" +[^ ]*|[^ ]+").findall
 #: Characters whose chunks share one table of lattices, and chunks that are sampled at once.
-LATTICE_CHARS, CHUNKS_AT_ONCE = 6_000_000, 150_000
+LATTICE_CHARS, CHUNKS_AT_ONCE = 3_000_000, 150_000
 _SHIFT = 21
 
 
@@ -118,11 +118,13 @@ class Lattices:
             more = at + d + 1 < stop[at]
             at, state = at[more], state[more]
         lone = np.flatnonzero(~single)
-        src, dst = np.concatenate([*src, lone + shift[lone]]), np.concatenate([*dst, lone + shift[lone] + 1])
-        weight = np.concatenate([p.weight[np.concatenate(piece)], p.byte_weight * (1 + (char[lone] > 0x7F) + (char[lone] > 0x7FF) + (char[lone] > 0xFFFF))])
-        piece = np.concatenate([*piece, -char[lone] - 1])
+        src, dst = (np.concatenate(x).astype(np.int32) for x in ([*src, lone + shift[lone]], [*dst, lone + shift[lone] + 1]))
         order = np.argsort(src, kind="stable")
-        self.dst, self.piece, weight, src = dst[order], piece[order], weight[order], src[order]
+        src, self.dst = src[order], dst[order]
+        piece = np.concatenate(piece)
+        weight = np.concatenate([p.weight[piece], p.byte_weight * (1 + (char[lone] > 0x7F) + (char[lone] > 0x7FF) + (char[lone] > 0xFFFF))])[order]
+        self.piece = np.concatenate([piece, -char[lone] - 1]).astype(np.int32)[order]
+        del dst, piece, order, single, shift, char, stop
         self.count = np.bincount(src, minlength=n_nodes)
         self.first = np.cumsum(self.count) - self.count
         self.offset = np.arange(n_nodes) - np.repeat(self.root, size + 1)
@@ -305,15 +307,18 @@ def _sample_docs(t: Lattices, which: list[np.ndarray], seeds: list[int], k: int)
         if len(other):
             flat[_spread((ends - length)[other], length[other])] = edge
         cuts = np.concatenate([[0], np.cumsum(size)])
-        total = np.concatenate([[0.0], np.cumsum(logp)])
-        before = total[:-1] + np.repeat(np.array([x[3] for x in todo]) - total[cuts[:-1]], size)
+        before, after = np.empty(len(occ)), [x[3] for x in todo]
+        for j, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):  # sums of a text's own: the same in any batch
+            if hi > lo:
+                upto = np.cumsum(np.concatenate([[after[j]], logp[lo:hi]]))
+                before[lo:hi], after[j] = upto[:-1], float(upto[-1])
         with np.errstate(divide="ignore"):  # a chunk's other segmentations together; their greatest weight rises with this
             rank = before + np.log(-np.expm1(np.minimum(logp, 0.0))) - np.log(-np.log(_unit(_mix(key + np.uint64(2)))))
-        for j, (d, value, edges, done, first) in enumerate(todo):
+        for j, (d, value, edges, _, first) in enumerate(todo):
             lo, hi = int(cuts[j]), int(cuts[j + 1])
             begin = int(ends[lo - 1]) if lo else 0
             whole = np.concatenate([edges, flat[begin : int(ends[hi - 1]) if hi else 0]]) if hi > lo else edges
-            out[d].append((whole, float(done + total[hi] - total[lo]), value))
+            out[d].append((whole, after[j], value))
             r = rank[lo:hi]
             for q in (np.argpartition(-r, need - 1)[:need] if len(r) > need else np.arange(len(r))).tolist():
                 if r[q] > -np.inf:
@@ -345,70 +350,61 @@ def _to_ids(t: Lattices, edges: np.ndarray, p: Pieces) -> np.ndarray:
 def segment(texts: list[str], keys: list, k: int, p: Pieces):
     """For each text up to ``k`` distinct sampled segmentations as (ids, log probability, perturbed
     weight, log inclusion probability), best perturbed weight first."""
-    lo = 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi]) < LATTICE_CHARS):
-            size += len(texts[hi])
-            hi += 1
-        chunks = [_CHUNKS(" " + x) if x else [] for x in texts[lo:hi]]
-        number = {c: n for n, c in enumerate(dict.fromkeys(itertools.chain.from_iterable(chunks)))}
-        which = [np.fromiter(map(number.__getitem__, cs), np.int64, len(cs)) for cs in chunks]
-        t = Lattices([*number], p) if number else None
-        at = 0
-        while at < len(which):
-            to, n = at, 0
-            while to < len(which) and (to == at or n + len(which[to]) < CHUNKS_AT_ONCE):
-                n += len(which[to])
-                to += 1
-            full = [i for i in range(at, to) if len(which[i])]
-            found = dict(zip(full, _sample_docs(t, [which[i] for i in full], [_seed(keys[lo + i]) for i in full], k))) if full else {}
-            for i in range(at, to):
-                if i not in found:
-                    yield [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
-                    continue
-                *samples, left = found[i]
-                rows = []
-                for edges, logp, score in samples:
-                    x = logp - left
-                    inclusion = 0.0 if x > 4 else (x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))))
-                    rows.append((_to_ids(t, edges, p), logp, score, inclusion))
-                yield rows
-            at = to
-        lo = hi
+    chunks = [_CHUNKS(" " + x) if x else [] for x in texts]
+    number = {c: n for n, c in enumerate(dict.fromkeys(itertools.chain.from_iterable(chunks)))}
+    which = [np.fromiter(map(number.__getitem__, cs), np.int64, len(cs)) for cs in chunks]
+    del chunks
+    t = Lattices([*number], p) if number else None
+    del number
+    at = 0
+    while at < len(which):
+        to, n = at, 0
+        while to < len(which) and (to == at or n + len(which[to]) < CHUNKS_AT_ONCE):
+            n += len(which[to])
+            to += 1
+        full = [i for i in range(at, to) if len(which[i])]
+        found = dict(zip(full, _sample_docs(t, [which[i] for i in full], [_seed(keys[i]) for i in full], k))) if full else {}
+        for i in range(at, to):
+            if i not in found:
+                yield [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
+                continue
+            *samples, left = found[i]
+            rows = []
+            for edges, logp, score in samples:
+                x = logp - left
+                inclusion = 0.0 if x > 4 else (x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))))
+                rows.append((_to_ids(t, edges, p), logp, score, inclusion))
+            yield rows
+        at = to
 
 
 def sample(docs: DataFrame, model: str, k: int = 2, power: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(id, sample, ids, n_tokens, log_prob, perturbed, log_inclusion)``, ``k`` or fewer a text."""
+    """Rows ``(id, sample, ids, n_tokens, log_prob, perturbed, log_inclusion, text_crc32)``, ``k`` or
+    fewer a text; the last is the crc32 of the UTF-8 of what the ids decode to."""
+    names = [id_col, "sample", "ids", "n_tokens", "log_prob", "perturbed", "log_inclusion", "text_crc32"]
 
     def run(batch: pa.RecordBatch):
         p = Pieces.shared(model, power)
-        keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-        ids, number, rest, at = [], [], [], []
-
-        def made():
-            cols = [batch.column(0).take(pa.array(at)), pa.array(number, pa.int32())]
-            flat, sizes = np.concatenate([np.zeros(0, np.int32), *ids]), [len(x) for x in ids]
-            cols += [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat)), pa.array(sizes, pa.int64())]
-            cols += [pa.array([r[c] for r in rest], pa.float64()) for c in range(3)]
-            return pa.RecordBatch.from_arrays(cols, names=[id_col, "sample", "ids", "n_tokens", "log_prob", "perturbed", "log_inclusion"])
-
-        held = 0
-        for i, rows in enumerate(segment(texts, keys, k, p)):
-            for s, (x, *scores) in enumerate(rows):
-                ids.append(x)
-                number.append(s + 1)
-                rest.append(scores)
-                at.append(i)
-                held += len(x)
-            if held > 2_000_000:
-                yield made()
-                ids, number, rest, at, held = [], [], [], [], 0
-        if at:
-            yield made()
+        for part in text_slices(batch, 1, LATTICE_CHARS):
+            rows = segment([x or "" for x in part.column(1).to_pylist()], part.column(0).to_pylist(), k, p)
+            ids, number, scores, crc, at, held = [], [], [], [], [], 0
+            for i, found in enumerate(rows):
+                for s, (x, *score) in enumerate(found):
+                    ids.append(x)
+                    number.append(s + 1)
+                    scores.append(score)
+                    crc.append(zlib.crc32(p.decode(x.tolist())))
+                    at.append(i)
+                    held += len(x)
+                if held > 1_000_000 or i + 1 == part.num_rows:
+                    sizes = np.array([*map(len, ids)], np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(ids)))
+                    cols = [part.column(0).take(pa.array(at)), pa.array(number, pa.int32()), lists, pa.array(sizes), *(pa.array([x[c] for x in scores], pa.float64()) for c in range(3)), pa.array(crc, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                    ids, number, scores, crc, at, held = [], [], [], [], [], 0
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, sample int, ids array<int>, n_tokens long, log_prob double, perturbed double, log_inclusion double")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, sample int, ids array<int>, n_tokens long, log_prob double, perturbed double, log_inclusion double, text_crc32 long")
 
 
 def encode(docs: DataFrame, model: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -433,14 +429,3 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "te
         return ids.map(lambda x: "" if x is None else p.decode(x).decode("utf-8", "replace"))
 
     return rows.withColumn(out_col, run(F.col(ids_col)))
-
-
-def text_crc32(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "text_crc32") -> DataFrame:
-    """``rows`` with the unsigned crc32 of the UTF-8 of each decoded text."""
-
-    @F.pandas_udf("long")
-    def run(ids):
-        p = Pieces.shared(model, 1.0)
-        return ids.map(lambda x: zlib.crc32(b"" if x is None else p.decode(x.tolist())))
-
-    return rows.withColumn(out_col, run(F.col(ids_col)))
