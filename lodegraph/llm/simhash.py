@@ -102,7 +102,7 @@ def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
 
     def near(cols, a, b):
         fp = cols["fp"]
-        close = np.bitwise_count(fp[a] ^ fp[b]) <= threshold
+        close = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= threshold
         if not close.any():
             return None
         x, y = forest(fp[a[close]], fp[b[close]])
