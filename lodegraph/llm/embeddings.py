@@ -107,7 +107,7 @@ def candidates(coded: DataFrame, radius: int = 20) -> DataFrame:
 
     def meet(cols, a, b):
         x = cols["code"][a] ^ cols["code"][b]
-        fine = (np.bitwise_count(x) <= radius) & (cols["space"][a] == cols["space"][b]) & (cols["spot"][a] == cols["spot"][b]) & (cols["id"][a] != cols["id"][b])
+        fine = (np.bitwise_count(x.view(np.uint64)) <= radius) & (cols["space"][a] == cols["space"][b]) & (cols["spot"][a] == cols["spot"][b]) & (cols["id"][a] != cols["id"][b])
         a, b, x = a[fine], b[fine], x[fine]
         table, key = cols["spot"][a] >> WIDTH, cols["spot"][a] & 0xFFFF
         part = lambda v, t: (v >> (WIDTH * t)) & 0xFFFF
