@@ -59,9 +59,11 @@ def with_rule(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
     ``rules``: (host, path, ``allow`` or ``block``)."""
     host, path = F.col("host"), F.col("path")
+    if not rules:
+        return pages.withColumn("best", F.lit(None).cast("struct<n: int, b: boolean, rule: string, verdict: string>"))
     if len(rules) <= LITERAL_RULES:
         literal = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules])
-        return pages.withColumn("best", _best(F.filter(literal, lambda r: _fits(r, host, path))) if rules else F.lit(None))
+        return pages.withColumn("best", _best(F.filter(literal, lambda r: _fits(r, host, path))))
     table = pages.sparkSession.createDataFrame(rules, "host string, path string, verdict string")
     hosts = pages.select("host").distinct()
     parts = F.split("host", r"\.")
