@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import arrow_map, discard, materialize, scratch_root
+from .common import arrow_map, discard, materialize, scratch_root, text_slices
 
 LIMIT = 16
 BLOCK_TOKENS, CHECKPOINT, PART_TOKENS = 1 << 17, 256, 1 << 23
-#: Words kept with their ids by each Python worker, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Words of a generation that each Python worker keeps with their ids, and the longest of them.
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
 _CHUNKS = re.compile(r"[^ \t\n\r]+").findall
 
 
@@ -84,11 +84,20 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_block(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """(bit stream, bit offset of every CHECKPOINT-th token)."""
-    n = lengths[ids]
-    bits = np.unpackbits(codes[ids].astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)
-    ends = np.cumsum(n, dtype=np.uint64)
-    return np.packbits(bits[np.arange(LIMIT) < n[:, None]]).tobytes(), (ends - n)[::CHECKPOINT]
+    """(bit stream, bit offset of every CHECKPOINT-th token).
+
+    Codes are moved to their place in a 64-bit word; those of one word are joined by or."""
+    n = lengths[ids].astype(np.int64)
+    ends = np.cumsum(n)
+    begin = ends - n
+    code = codes[ids].astype(np.uint64) << np.uint64(64 - LIMIT)  # left-aligned
+    word, place = begin >> 6, (begin & 63).astype(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out = np.zeros(int(ends[-1] + 63) // 64 + 1, np.uint64)
+    out[word[first]] = np.bitwise_or.reduceat(code >> place, first)
+    over = np.flatnonzero((begin & 63) + n > 64)  # at most one a word
+    out[word[over] + 1] |= code[over] << (np.uint64(64) - place[over])
+    return out.astype(">u8").tobytes()[: int(ends[-1] + 7) // 8], begin[::CHECKPOINT].astype(np.uint64)
 
 
 def decode_block(payload: bytes, offsets: np.ndarray, n_tokens: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -109,9 +118,22 @@ def decode_block(payload: bytes, offsets: np.ndarray, n_tokens: int, table: tupl
     return out.reshape(-1)[:n_tokens]
 
 
+def _chunks(t: str) -> list[str]:
+    """The text's parts between white space, which never stands in a token; a Latin-1 text in lower
+    case, as the vocabulary folds case itself and letter by letter."""
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return _CHUNKS(t)
+    if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t or "<|" in t:  # not white space to the vocabulary; special tokens
+        return _CHUNKS(t)
+    return t.lower().split()
+
+
 class Encoder:
-    """Ids of whole texts. Space, tab and line ends never stand in a token of the word-level
-    vocabulary, so the chunks between them are encoded apart and frequent ones are remembered."""
+    """Ids of whole texts by the library, chunk by chunk. The chunks of the last texts are remembered
+    in two generations, so frequent ones stay and memory is bounded. Letters and the one punctuation
+    mark after them are apart to the vocabulary and encoded apart."""
 
     _shared: dict[str, Encoder] = {}
 
@@ -126,20 +148,37 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+
+    @classmethod
+    def forget(cls) -> None:
+        """Give back what this worker remembers, for stages that do not encode."""
+        cls._shared.clear()
+
+    def _learn(self, fresh: list[str]) -> None:
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            self.young[w] = np.array(e.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
-        chunks = [_CHUNKS(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        fresh = list({w for words in chunks for w in words if w not in self.known})
-        now = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))}
-        room = max(0, CACHE_WORDS + 50_000 - len(self.known))
-        tail = np.array([end], np.uint32).tobytes()
-        both = self.known | now
-        out = [b"".join([*map(both.__getitem__, words), tail]) for words in chunks]
-        self.known.update(itertools.islice(((w, x) for w, x in now.items() if len(w) <= CACHE_CHARS), room))
+        chunks = [_chunks(t) for t in texts]
+        wanted = set(itertools.chain.from_iterable(chunks)).difference(self.young)  # looks each of its own up
+        split = [w for w in wanted if w[-1] in ".,;:!?" and w[:-1].isalpha()]
+        wanted.update(w[:-1] for w in split)
+        wanted.update(".,;:!?")
+        wanted.difference_update(split)
+        young, old, fresh = self.young, self.old, []
+        for w in wanted:
+            if w in old:
+                young[w] = old[w]
+            elif w not in young:
+                fresh.append(w)
+        self._learn(fresh)
+        get, tail = self.young.__getitem__, np.array([end], np.uint32).tobytes()
+        self.young.update((w, get(w[:-1]) + get(w[-1])) for w in split)
+        out = [b"".join([*map(get, words), tail]) for words in chunks]
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = {w: x for w, x in self.young.items() if len(w) <= CACHE_CHARS}, {}
         return out
 
 
@@ -149,8 +188,7 @@ def tokenise(docs: DataFrame, vocabulary: str, end: int = 2, id_col: str = "doc_
     def run(batch: pa.RecordBatch):
         encoder = Encoder.shared(vocabulary)
         pack = zstandard.ZstdCompressor(level=1).compress
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for part in text_slices(batch, 1, 1_500_000):
             ids = encoder.encode([x or "" for x in part.column(1).to_pylist()], end)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(_halves(x)) for x in ids], pa.binary())], names=["id", "ids"])
 
@@ -173,6 +211,7 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs in the corpus; the result is as long as the vocabulary."""
 
     def run(batches):
+        Encoder.forget()
         total = np.zeros(1, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
@@ -201,6 +240,7 @@ def write_store(tokens: DataFrame, path: str) -> None:
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/header")
 
     def run(batches):
+        Encoder.forget()
         part, block, before = TaskContext.get().partitionId(), 0, 0
         ids, docs, size = [], [], 0
 
