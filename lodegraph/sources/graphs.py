@@ -44,7 +44,7 @@ def from_document(text: DataFrame) -> Graph:
 
 
 def read_json(spark: SparkSession, path: str) -> Graph:
-    return from_document(spark.read.option("wholetext", True).text(path))
+    return from_document(spark.read.text(path, wholetext=True))
 
 
 def from_dict(spark: SparkSession, document: dict) -> Graph:
