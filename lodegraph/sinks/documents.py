@@ -85,7 +85,7 @@ def dot_lines(g: Graph, edge_kinds: list[str] | None = None, node_kinds: list[st
     label = F.concat("kind", F.lit(": "), dot_escape(F.col("name")), F.when(F.col("line").isNotNull(), F.concat(F.lit("\\nL"), F.col("line").cast("string"))).otherwise(""))
     n = nodes.select(F.lit(1).alias("part"), F.concat(F.lit('  "'), dot_escape(F.col("id")), F.lit('" [label="'), label, F.lit('", shape='), _lookup(SHAPES, F.col("kind"), "box"), F.lit("];")).alias("line"))
     e = edges.select(F.lit(2).alias("part"), F.concat(F.lit('  "'), dot_escape(F.col("src")), F.lit('" -> "'), dot_escape(F.col("dst")), F.lit('" [label="'), F.col("kind"), F.lit('", style='), _lookup(STYLES, F.col("kind"), "solid"), F.lit("];")).alias("line"))
-    frame = g.spark.createDataFrame([(0, "digraph G {"), (0, "  rankdir=LR;"), (3, "}")], "part int, line string")
+    frame = g.spark.createDataFrame([(0, "digraph G {\n  rankdir=LR;"), (3, "}")], "part int, line string")
     return frame.unionByName(n).unionByName(e)
 
 
