@@ -368,7 +368,10 @@ def interproc_return(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- taint ------------------------------------------------------------------------------------------
 
-_POLICY = taint.Policy(F.when(F.col("name").isin("signup", "view"), F.col("name")), F.col("name") == "sink", F.col("name") == "sanitize")
+def _policy(**more) -> taint.Policy:
+    return taint.Policy(F.when(F.col("name").isin("signup", "view"), F.col("name")), F.col("name") == "sink", **({"sanitizer": F.col("name") == "sanitize"} | more))
+
+
 _FLOW = ("d", "select distinct src, dst, field_name as f from event_edges where kind = 'data_flows_to'")
 _SEED = ("seed", "select id as origin, name as label from event_nodes where name in ('signup', 'view')")
 
@@ -384,10 +387,10 @@ _R2 = ("r2(origin, label, field, node, x)", _spread(cut="and NODE not in (select
 _HITS = ("hits", "select r.origin, r.node as sink, r.label, r.field, exists (select 1 from u where u.label = r.label and u.field is not distinct from r.field and u.node = r.node) as bypass from r join event_nodes n on r.node = n.id where n.name = 'sink'")
 
 
-def _taint(spark: SparkSession, sf_dir: str, policy: taint.Policy = _POLICY) -> taint.Result:
+def _taint(spark: SparkSession, sf_dir: str, policy: taint.Policy | None = None) -> taint.Result:
     g = project.events(spark, sf_dir)
     none = spark.createDataFrame([], "function_id string, position int, reached_id string, reached_kind string")
-    return taint.run(g, policy, none)
+    return taint.run(g, policy or _policy(), none)
 
 
 @_query(with_sql(EVENTS, _FLOW, _SEED, _R, select="select distinct node, label, coalesce(field, '') as field, origin from (select node, label, field, origin from r union all select origin, label, null, origin from seed)"))
@@ -421,7 +424,7 @@ _PROP = ("d", "select distinct src, dst, field_name as f from event_edges where
 
 @_query(with_sql(EVENTS, _PROP, _SEED, _R, select="select distinct r.origin, r.label, r.node from r"))
 def taint_propagators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = taint.Policy(_POLICY.source, _POLICY.sink, propagators=(((F.col("name") == "sanitize") & (F.col("line") % 2 == 1), False), (F.col("name") == "sanitize", True)))
+    policy = _policy(sanitizer=F.lit(False), propagators=(((F.col("name") == "sanitize") & (F.col("line") % 2 == 1), False), (F.col("name") == "sanitize", True)))
     return _taint(spark, sf_dir, policy).reach.select("origin", "label", "node").distinct()
 
 
