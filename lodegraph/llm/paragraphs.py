@@ -8,9 +8,8 @@ inside different lines: runs of 24 words that begin where a shingle hash is the
 down to one band, the passage itself, and equal hashes of 128 bits are the verification. Whatever its kind, a cluster stays where it stands in the
 document of the smallest id and is removed from all others.
 
-Verification runs in two rounds to keep dense groups from giving all their pairs: each band's members
-are first compared with one of them; then only members of a band that are in different components
-are compared with each other, so no link between lines is lost.
+All pairs of a band are verified, large bands in blocks of bounded size, and a block gives a star for
+each component among its pairs instead of the pairs, so dense groups give no more links than lines.
 
 Defined cases: a null or empty text, and one with no line and no run of 24 words, has no
 paragraphs; repeats within one document are left alone, as are paragraphs that only documents with a
@@ -27,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import compare_buckets, forest
 from .common import arrow_map, checked_broadcast, materialize
 from .components import connected_components
 from .pieces import _mix, _spread
@@ -35,6 +35,8 @@ SHINGLE, LINE_WORDS, PASSAGE_WORDS, WINNOW = 5, 24, 24, 16
 CHARS_AT_ONCE = 3_000_000
 #: Band keys and lines in question that are broadcast at most (16 bytes each).
 KEYS_AT_MOST = 1_000_000
+#: Lines of a block of a large band, and sparse pairs whose shingles are looked up at once.
+BLOCK_LINES, PAIRS_AT_ONCE = 1024, 20_000
 
 _BASES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _LOW = np.uint64((1 << 20) - 1)
@@ -185,33 +187,50 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, run, "line long, shingles array<long>").withColumn("shingles", F.array_distinct("shingles"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose exact Jaccard similarity is at least the threshold."""
-    x = pairs.join(sets.select(F.col("line").alias("a"), F.col("shingles").alias("x")), "a")
-    x = x.join(sets.select(F.col("line").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return x.where(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
+def _similar(sets: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs (positions in ``sets``) have an exact Jaccard similarity of at least the threshold."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    fits = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
+    out = np.zeros(len(a), bool)
+    if not fits.any():
+        return out
+    rows, at = np.unique(np.concatenate([a[fits], b[fits]]), return_inverse=True)
+    x, y, n = at[: len(at) // 2], at[len(at) // 2 :], size[rows]
+    _, item = np.unique(np.concatenate([*sets[rows]]), return_inverse=True)
+    v = int(item.max()) + 1
+    if len(x) > 20 * len(rows) and len(rows) * v <= 1 << 24:  # dense: all intersections are one product
+        m = np.zeros((len(rows), v), np.float32)
+        m[np.repeat(np.arange(len(rows)), n), item] = 1
+        common = (m @ m.T)[x, y]
+    else:
+        held, first = np.sort(np.repeat(np.arange(len(rows)), n) * v + item), np.cumsum(n) - n
+        common = np.empty(len(x), np.int64)
+        for k in range(0, len(x), PAIRS_AT_ONCE):
+            p, q = x[k : k + PAIRS_AT_ONCE], y[k : k + PAIRS_AT_ONCE]
+            asked = np.repeat(q * v, n[p]) + item[_spread(first[p], n[p])]
+            found = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked
+            common[k : k + PAIRS_AT_ONCE] = np.add.reduceat(found, np.cumsum(n[p]) - n[p])
+    out[fits] = common >= threshold * (n[x] + n[y] - common)
+    return out
 
 
 def line_clusters(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, rows: int = 4) -> DataFrame:
     """Rows ``(line, root)`` for lines with a near-duplicate, by hash."""
     banded = band_rows(docs, tune_bands(threshold, recall, rows), rows)
-    meet = materialize(banded.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("z")).where("a < z").select("key", "a"), "bands")
+    meet = materialize(banded.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("z")).where("a < z").select("key"), "bands")
     members = materialize(banded.join(checked_broadcast(meet, KEYS_AT_MOST), "key").distinct(), "members")
     asked = materialize(members.select("line").distinct(), "lines")
     sets = materialize(shingle_sets(docs).join(checked_broadcast(asked, KEYS_AT_MOST), "line").dropDuplicates(["line"]), "sets")
-    star = members.where("a <> line").select("a", F.col("line").alias("b")).distinct()
-    links = materialize(_verified(star, sets, threshold), "links")
-    roots = materialize(connected_components(links), "roots")
-    m = members.join(roots, members.line == roots.node, "left").select("key", "line", F.coalesce("root", "line").alias("root"))
-    sizes = m.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    m = materialize(m.join(main, "key"), "split")
-    other = m.where("root <> main").select("key", F.col("line").alias("x"), F.col("root").alias("rx"))
-    pairs = other.join(m.select("key", F.col("line").alias("y"), F.col("root").alias("ry"), "main"), "key").where("rx <> ry and (ry = main or x < y)")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _verified(pairs, sets, threshold)
-    return connected_components(links.unionByName(more)).withColumnRenamed("node", "line")
+
+    def verify(cols, a, b):
+        keep = _similar(cols["shingles"], a, b, threshold)
+        if not keep.any():
+            return None
+        x, y = forest(cols["line"][a[keep]], cols["line"][b[keep]])
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    links = compare_buckets(members.join(sets, "line"), "key", "line", None, verify, "a long, b long", BLOCK_LINES)
+    return connected_components(links).withColumnRenamed("node", "line")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
