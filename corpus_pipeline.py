@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import mixing, pieces, pii, simhash, suffix
+from lodegraph.llm import mixing, pieces, pii, similar, suffix
 from lodegraph.llm.common import materialize
 
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs)
+    """Of each group of near-duplicates (0.8 of five-word shingles) the document with the smallest id stays."""
+    groups = similar.near_duplicates(docs)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay"))
     return docs.join(stay, docs.doc_id.eqNullSafe(stay.stay), "left_semi")
 

@@ -20,6 +20,7 @@ table gives an empty result; further columns are ignored (``find``) or carried a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ SHINGLE, LINE_WORDS, PASSAGE_WORDS, WINNOW = 5, 24, 24, 16
 CHARS_AT_ONCE = 3_000_000
 #: Band keys and lines in question that are broadcast at most (16 bytes each).
 KEYS_AT_MOST = 1_000_000
-#: Lines of a block of a large band, and sparse pairs whose shingles are looked up at once.
-BLOCK_LINES, PAIRS_AT_ONCE = 1024, 20_000
+#: Lines of a block of a large band, and shingles of sparse pairs that are looked up at once.
+BLOCK_LINES, SHINGLES_AT_ONCE = 1024, 2_000_000
 
 _BASES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _LOW = np.uint64((1 << 20) - 1)
@@ -90,6 +91,11 @@ class Words:
         keep = self.line_hi - self.line_lo >= least
         return self.line_lo[keep], self.line_hi[keep]
 
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """Word ranges of the texts, empty ones too."""
+        k = np.arange(len(self.text_start))
+        return np.searchsorted(self.text, k), np.searchsorted(self.text, k, side="right")
+
     def passages(self) -> tuple[np.ndarray, np.ndarray]:
         """Word ranges of the winnowed passages."""
         n = len(self.lo)
@@ -143,14 +149,18 @@ def units(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, run, "id long, h1 long, h2 long, lo int, hi int")
 
 
-def _line_shingles(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line hash, shingles of all lines, where each line's begin)."""
-    lo, hi = w.lines()
-    n = hi - lo - SHINGLE + 1
-    return w.ranges[0].hash(lo, hi).view(np.int64), w.shingle[_spread(lo, n)], np.cumsum(n) - n
+def _line_shingles(w: Words, unit: Callable = Words.lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line hash, shingles of all lines, where each line's begin); a line of fewer words is one shingle."""
+    lo, hi = unit(w)
+    n = np.maximum(hi - lo - SHINGLE + 1, 1)
+    line, first, short = w.ranges[0].hash(lo, hi), np.cumsum(n) - n, hi - lo < SHINGLE
+    at = _spread(lo, n)
+    shingle = w.shingle[np.minimum(at, len(w.shingle) - 1)] if len(w.shingle) else np.zeros(len(at), np.uint64)
+    shingle[first[short]] = line[short]
+    return line.view(np.int64), shingle, first
 
 
-def band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def band_rows(docs: DataFrame, bands: int, rows: int, unit: Callable = Words.lines) -> DataFrame:
     """Rows ``(key, line)``: each line under the hash of each of its bands."""
     rng = np.random.default_rng(11)
     mult = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,7 +168,7 @@ def band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch):
         for _, w in _batches(batch.column(0), [x or "" for x in batch.column(1).to_pylist()]):
-            line, shingle, first = _line_shingles(w)
+            line, shingle, first = _line_shingles(w, unit)
             if not len(line):
                 continue
             _, once = np.unique(line, return_index=True)
@@ -173,12 +183,12 @@ def band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return arrow_map(docs, run, "key long, line long")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, unit: Callable = Words.lines) -> DataFrame:
     """Rows ``(line, shingles)``: the distinct shingle hashes of each line."""
 
     def run(batch: pa.RecordBatch):
         for _, w in _batches(batch.column(0), [x or "" for x in batch.column(1).to_pylist()]):
-            line, shingle, first = _line_shingles(w)
+            line, shingle, first = _line_shingles(w, unit)
             if not len(line):
                 continue
             offsets = np.append(first, len(shingle)).astype(np.int32)
@@ -205,22 +215,27 @@ def _similar(sets: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -
     else:
         held, first = np.sort(np.repeat(np.arange(len(rows)), n) * v + item), np.cumsum(n) - n
         common = np.empty(len(x), np.int64)
-        for k in range(0, len(x), PAIRS_AT_ONCE):
-            p, q = x[k : k + PAIRS_AT_ONCE], y[k : k + PAIRS_AT_ONCE]
+        total, k = np.cumsum(n[x]), 0
+        while k < len(x):
+            end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + SHINGLES_AT_ONCE, side="right")))
+            p, q = x[k:end], y[k:end]
             asked = np.repeat(q * v, n[p]) + item[_spread(first[p], n[p])]
             found = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked
-            common[k : k + PAIRS_AT_ONCE] = np.add.reduceat(found, np.cumsum(n[p]) - n[p])
+            common[k:end] = np.add.reduceat(found, np.cumsum(n[p]) - n[p], dtype=np.int64)
+            k = end
     out[fits] = common >= threshold * (n[x] + n[y] - common)
     return out
 
 
-def line_clusters(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, rows: int = 4) -> DataFrame:
-    """Rows ``(line, root)`` for lines with a near-duplicate, by hash."""
-    banded = band_rows(docs, tune_bands(threshold, recall, rows), rows)
+def line_clusters(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, rows: int = 4, unit: Callable = Words.lines, more: DataFrame | None = None) -> DataFrame:
+    """Rows ``(line, root)`` for lines (or what else ``unit`` gives) with a near-duplicate, by hash.
+    ``more`` holds further rows ``(key, line)``: lines that share a key are compared as in a band."""
+    banded = band_rows(docs, tune_bands(threshold, recall, rows), rows, unit)
+    banded = banded if more is None else banded.unionByName(more)
     meet = materialize(banded.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("z")).where("a < z").select("key"), "bands")
     members = materialize(banded.join(checked_broadcast(meet, KEYS_AT_MOST), "key").distinct(), "members")
     asked = materialize(members.select("line").distinct(), "lines")
-    sets = materialize(shingle_sets(docs).join(checked_broadcast(asked, KEYS_AT_MOST), "line").dropDuplicates(["line"]), "sets")
+    sets = materialize(shingle_sets(docs, unit).join(checked_broadcast(asked, KEYS_AT_MOST), "line").dropDuplicates(["line"]), "sets")
 
     def verify(cols, a, b):
         keep = _similar(cols["shingles"], a, b, threshold)
