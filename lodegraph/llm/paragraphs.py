@@ -1,7 +1,7 @@
 """Operator 10, substring dedup by paragraph MinHash banding.
 
-Paragraphs are of two kinds. Lines of at least 24 words are banded by MinHash over five-word shingles,
-with as many bands as a pair at the threshold needs to meet with the wanted probability; lines that
+Paragraphs are of two kinds. Lines, and blocks of several lines between blank ones (wrapped paragraphs),
+are banded by MinHash over five-word shingles if they have one (5 words), with as many bands as a pair at the threshold needs to meet with the wanted probability; lines that
 meet are verified by exact Jaccard similarity and clustered by components. Passages catch what repeats
 inside different lines: runs of 24 words that begin where a shingle hash is the least of 16 neighbours
 (winnowing), so two texts that share any 43 words share a passage; at a threshold of 1 banding comes
@@ -11,7 +11,7 @@ document of the smallest id and is removed from all others.
 All pairs of a band are verified, large bands in blocks of bounded size, and a block gives a star for
 each component among its pairs instead of the pairs, so dense groups give no more links than lines.
 
-Defined cases: a null or empty text, and one with no line and no run of 24 words, has no
+Defined cases: a null or empty text, and one with no line or block of 5 words, has no
 paragraphs; repeats within one document are left alone, as are paragraphs that only documents with a
 null id hold; letter case A-Z and the kind of white space do not count; texts are taken whole; an empty
 table gives an empty result; further columns are ignored (``find``) or carried along (``dedup``).
@@ -32,7 +32,7 @@ from .common import arrow_map, checked_broadcast, materialize
 from .components import connected_components
 from .pieces import _mix, _spread
 
-SHINGLE, LINE_WORDS, PASSAGE_WORDS, WINNOW = 5, 24, 24, 16
+SHINGLE, PASSAGE_WORDS, WINNOW = 5, 24, 16
 CHARS_AT_ONCE = 3_000_000
 #: Band keys and lines in question that are broadcast at most (16 bytes each).
 KEYS_AT_MOST = 1_000_000
@@ -81,15 +81,22 @@ class Words:
         line = np.cumsum(c == 10)[self.lo] if len(self.lo) else self.lo
         new = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else line
         self.line_lo, self.line_hi = new, np.append(new[1:], len(line)).astype(np.int64)[: len(new)]
+        apart = (line[new[1:]] - line[new[:-1]] > 1) | (self.text[new[1:]] != self.text[new[:-1]])
+        head = np.flatnonzero(np.concatenate([[True], apart])) if len(new) else new
+        tail = np.append(head[1:], len(new)).astype(np.int64)[: len(head)] - 1
+        head, tail = head[tail > head], tail[tail > head]
+        self.block_lo, self.block_hi = self.line_lo[head], self.line_hi[tail]
         self.ranges = [_Ranges(self.hash, b) for b in _BASES[1:]]
         self.shingle = np.zeros(0, np.uint64)
         if len(self.lo) >= SHINGLE:
             at = np.arange(len(self.lo) - SHINGLE + 1)
             self.shingle = self.ranges[0].hash(at, at + SHINGLE)
 
-    def lines(self, least: int = LINE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-        keep = self.line_hi - self.line_lo >= least
-        return self.line_lo[keep], self.line_hi[keep]
+    def lines(self, least: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+        """Word ranges of the lines, and of the blocks of several lines between blank ones."""
+        lo, hi = np.concatenate([self.line_lo, self.block_lo]), np.concatenate([self.line_hi, self.block_hi])
+        keep = hi - lo >= least
+        return lo[keep], hi[keep]
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
         """Word ranges of the texts, empty ones too."""
@@ -160,8 +167,9 @@ def _line_shingles(w: Words, unit: Callable = Words.lines) -> tuple[np.ndarray,
     return line.view(np.int64), shingle, first
 
 
-def band_rows(docs: DataFrame, bands: int, rows: int, unit: Callable = Words.lines) -> DataFrame:
-    """Rows ``(key, line)``: each line under the hash of each of its bands."""
+def band_rows(docs: DataFrame, bands: int, rows: int, unit: Callable = Words.lines, threshold: float = 0.8) -> DataFrame:
+    """Rows ``(key, line)``: each line under the hash of each of its bands, a line of few shingles under one."""
+    few = max(n for n in range(100) if n < threshold * (n + 1)) if threshold < 0.98 else 0
     rng = np.random.default_rng(11)
     mult = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -172,13 +180,16 @@ def band_rows(docs: DataFrame, bands: int, rows: int, unit: Callable = Words.lin
             if not len(line):
                 continue
             _, once = np.unique(line, return_index=True)
-            keys = []
+            # of fewer than four shingles only equal sets are similar enough, and those meet in any band
+            more = once[np.diff(np.append(first, len(shingle)))[once] > few]
+            keys, held = [], []
             for b in range(bands):
                 key = np.full(len(line), b + 1, np.uint64)
                 for k in range(b * rows, (b + 1) * rows):
                     key = _mix(key * _BASES[0] + np.minimum.reduceat(shingle * mult[k] + add[k], first))
-                keys.append(key[once])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(line[once], bands))], names=["key", "line"])
+                keys.append(key[more if b else once])
+                held.append(line[more if b else once])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(held))], names=["key", "line"])
 
     return arrow_map(docs, run, "key long, line long")
 
@@ -230,7 +241,7 @@ def _similar(sets: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -
 def line_clusters(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, rows: int = 4, unit: Callable = Words.lines, more: DataFrame | None = None) -> DataFrame:
     """Rows ``(line, root)`` for lines (or what else ``unit`` gives) with a near-duplicate, by hash.
     ``more`` holds further rows ``(key, line)``: lines that share a key are compared as in a band."""
-    banded = band_rows(docs, tune_bands(threshold, recall, rows), rows, unit)
+    banded = band_rows(docs, tune_bands(threshold, recall, rows), rows, unit, threshold)
     banded = banded if more is None else banded.unionByName(more)
     meet = materialize(banded.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("z")).where("a < z").select("key"), "bands")
     members = materialize(banded.join(checked_broadcast(meet, KEYS_AT_MOST), "key").distinct(), "members")

@@ -38,3 +38,19 @@ def test_pipeline_near_duplicates_reach_the_similarity(spark):
     assert stay == set(range(len(texts))) - gone
     got = {r.doc_id: r.component_id for r in similar.near_duplicates(docs_of(spark, texts)).collect()}
     assert got == {i: i - 1 if i in gone else i for i in range(len(texts))}
+
+
+def test_short_lines_and_wrapped_paragraphs(spark):
+    rng = random.Random(16)
+    short, wrapped = "Five words in one line", words(rng, 120).split()
+    wrap = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    texts = [f"{words(rng, 40)}\n{short}\n{words(rng, 9)}", f"{words(rng, 8)}\n {short.upper()} \n\n{words(rng, 30)}", "four words a line", "four words a line"]
+    light = list(wrapped)
+    light[40::50] = ["x1", "x2"]
+    texts += [f"{words(rng, 20)}\n\n{wrap(wrapped, 9)}\n\n{words(rng, 20)}", f"{words(rng, 25)}\n \n{wrap(light, 11)}\n\n{words(rng, 25)}"]
+    out = {r.doc_id: r.text for r in paragraphs.dedup(docs_of(spark, texts)).collect()}
+    assert [out[i] for i in (0, 2, 3, 4)] == [texts[i] for i in (0, 2, 3, 4)]
+    assert out[1] == texts[1].replace(short.upper(), "")
+    assert out[5] == texts[5].replace(wrap(light, 11), "")
+    w = paragraphs.Words(["a b\nc d\n\ne f g h i\n\n\nj\nk l m n", "", "o p q\nr s t", "u v w x y"])
+    assert [(int(a), int(b)) for a, b in zip(*w.lines())] == [(4, 9), (20, 25), (9, 14), (14, 20)]  # blocks after lines
