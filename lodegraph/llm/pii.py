@@ -3,7 +3,7 @@
 Base detectors run over the text as it is. Then a chain of transducers rewrites disguises (look-alike
 characters, at/dot spellings, digits as words) and keeps, for every character it emits, the span of
 source characters it stands for; the detectors run again over the rewritten text and what they find is
-mapped back. A found span is added unless it overlaps a base span.
+mapped back. A found span is added unless another span covers it whole.
 
 Defined cases: a null or empty text has no spans; texts are searched whole, in time that grows with
 their length; repeated rows give the same spans; an empty table gives an empty result; further columns
@@ -206,10 +206,10 @@ def find_spans(t: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
     r, added = rewrite(t), []
     taken = sorted((s, e) for _, s, e in base)
     for kind, s, e in base_spans(r.text):
-        if not r.edited[s:e].any():
-            continue
         span = int(r.start[s]), int(r.end[e - 1])
-        if not any(x < span[1] and span[0] < y for x, y in taken):
+        if not r.edited[s:e].any() and span[1] - span[0] == e - s:  # characters without width leave no mark
+            continue
+        if not any(x <= span[0] and span[1] <= y for x, y in taken):
             added.append((kind, *span))
             taken.append(span)
     return base, added
@@ -241,7 +241,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def mask(t: str) -> str:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first stays."""
+    """The text with each span replaced by its kind in brackets; of overlapping
+    spans, whose union goes, the first one's kind stays."""
     base, added = find_spans(t)
     out, at = [], 0
     for kind, s, e in sorted([*base, *added], key=lambda x: (x[1], -x[2])):

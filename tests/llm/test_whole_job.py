@@ -54,3 +54,12 @@ def test_short_lines_and_wrapped_paragraphs(spark):
     assert out[5] == texts[5].replace(wrap(light, 11), "")
     w = paragraphs.Words(["a b\nc d\n\ne f g h i\n\n\nj\nk l m n", "", "o p q\nr s t", "u v w x y"])
     assert [(int(a), int(b)) for a, b in zip(*w.lines())] == [(4, 9), (20, 25), (9, 14), (14, 20)]  # blocks after lines
+
+
+def test_disguises_beside_a_fragment():
+    for t, fragment in [("jоe@example.com", "e@example.com"), ("joe [dot] smith@example.com", "smith@example.com"), ("joe@mail.exаmple.com", "joe@mail.ex"), ("joe@example.cоm", "joe@example.c"), ("jo\u200be@example.com", "e@example.com")]:
+        base, added = pii.find_spans(f"mail {t} now")
+        assert [(k, f"mail {t} now"[s:e]) for k, s, e in base] == [("email", fragment)], t
+        assert [(k, f"mail {t} now"[s:e]) for k, s, e in added] == [("email", t)], t
+        assert pii.mask(f"mail {t} now") == "mail [EMAIL] now"
+    assert pii.find_spans("joe@example.com is plain")[1] == []
