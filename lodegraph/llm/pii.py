@@ -118,11 +118,17 @@ _AT_WORD = "(?:at|AT|At|arroba|@)"
 _BRACKET_AT = re.compile(_OPEN + _AT_WORD + _SHUT)
 _BRACKET_DOT = re.compile(_OPEN + _DOT_WORD + _SHUT)
 _BRACKET = re.compile(rf"[\[({{<][ \t]*+(?:{_AT_WORD}|{_DOT_WORD})[ \t]*+[\])}}>]")
-_PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( at | AT |_at_|@)[A-Za-z0-9-]+(?:(?: (?:dot|DOT) |_dot_|\.)[A-Za-z0-9-]+)*(?: (?:dot|DOT) |_dot_)[A-Za-z0-9-]+(?:(?: (?:dot|DOT) |_dot_|\.)[A-Za-z0-9-]+)*")
-_PLAIN_AT, _PLAIN_DOT = re.compile(" at | AT |_at_"), re.compile(" dot | DOT |_dot_")
+_HOST_DOT = r"(?: (?:dot|DOT) |_dot_|\.)"
+_PLAIN = re.compile(rf"(?:(?<![A-Za-z0-9._%+-])|(?<=_at_))(?:(?!_at_)[A-Za-z0-9._%+-])++( at | AT |_at_|@)[A-Za-z0-9-]+(?:{_HOST_DOT}[A-Za-z0-9-]+)+")
+_AT_HOST = re.compile(rf"(?: at | AT |_at_)[A-Za-z0-9-]+{_HOST_DOT}[A-Za-z0-9-]")
+_DOTS = re.compile(_HOST_DOT)
 _NUMBER = "(?:" + "|".join(sorted({w for v in DIGIT_WORDS.values() for w in v} | {"oh"}, key=lambda w: (-len(w), w))) + ")"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]+)?{_NUMBER}(?:(?:[ ]?[,-][ ]?|[ ]+){_NUMBER}){{3,}}(?!\w)|(?<!\w)(?:plus[ ,-]+)?{_NUMBER}(?:(?:[ ]?[,-][ ]?|[ ]+)(?:{_NUMBER}|dot|point)){{4,}}(?!\w)", re.IGNORECASE)
 _TOKEN = re.compile(r"\w+")
+_ITEM = re.compile(rf"(?<!\w)({_NUMBER}|dot|point|plus)(?!\w)|[0-9]++|\+", re.IGNORECASE)
+# What may stand between a number word and its neighbours, and between digits.
+_GAP, _DIGIT_GAP = re.compile(r"[\s,()\[\]{}<>/.-]{0,6}"), re.compile(r"[\x20().-]{0,3}")
+_MARKS = str.maketrans({c: " " for c in ",()[]{}<>/.-"} | {"+": " + "})
 _NUMBERS = frozenset(w for w in _VALUE if w not in (".", "plus"))
 # Last labels that a host spelled out without brackets must end in.
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz name io ai app dev co me tv us uk eu de fr es it nl be ch at pl pt ru cn jp in br mx ca au example test".split())
@@ -176,25 +182,66 @@ def _spells_digits(t: str) -> bool:
     return b"\1\1\1\1" in bytes(map(_NUMBERS.__contains__, (w.strip(".;:!?()") for w in tokens))) if not _NUMBERS.isdisjoint(tokens) else False
 
 
+def _mixes_digits(t: str) -> bool:
+    """Whether a number word stands next to another one, to digits or to a plus."""
+    tokens = t.lower().translate(_MARKS).split()
+    if _NUMBERS.isdisjoint(tokens):
+        return False
+    kinds = bytes(1 if w in _NUMBERS else 2 if w in ("+", "plus", "dot", "point") or w.isdigit() else 0 for w in tokens)
+    return any(x in kinds for x in (b"\1\1", b"\1\2", b"\2\1"))
+
+
+def _mixed_edits(t: str) -> list[tuple[int, int, str]]:
+    """Each number word next to digits, a plus or another number word by its digit; what separates the
+    members of such a run goes, but for a dot."""
+    runs, last = [], None
+    for m in _ITEM.finditer(t):
+        gap = _GAP if last and (last.group(1) or m.group(1)) else _DIGIT_GAP
+        if last and gap.fullmatch(t, last.end(), m.start()):
+            runs[-1].append(m)
+        else:
+            runs.append([m])
+        last = m
+    out = []
+    for run in runs:
+        if len(run) < 2 or not any(m.group(1) for m in run):
+            continue
+        for k, m in enumerate(run):
+            if m.group(1):
+                out.append((*m.span(), _VALUE[m.group().lower()]))
+            if k + 1 < len(run) and m.end() < run[k + 1].start():
+                dot = "." in t[m.end() : run[k + 1].start()] and "." not in (_VALUE.get(m.group().lower()), _VALUE.get(run[k + 1].group().lower()))
+                out.append((m.end(), run[k + 1].start(), "." if dot else ""))
+    return out
+
+
 def disguised(t: str) -> bool:
     """Whether any transducer may have work to do; cheap tests first."""
-    return bool((not t.isascii() and _ODD.search(t)) or _BRACKET.search(t) or (("dot" in t or "DOT" in t) and _PLAIN.search(t)) or _spells_digits(t))
+    return bool((not t.isascii() and _ODD.search(t)) or _BRACKET.search(t) or _AT_HOST.search(t) or (("dot" in t or "DOT" in t) and _PLAIN.search(t)) or _spells_digits(t) or _mixes_digits(t))
 
 
-def rewrite(t: str) -> Rewritten:
+def _host_edits(t: str) -> list[tuple[int, int, str]]:
+    """At and dots of addresses spelled out without brackets, up to the last label that is known."""
+    out = []
+    for m in _PLAIN.finditer(t):
+        dots = list(_DOTS.finditer(t, m.end(1), m.end()))
+        ends = [*(d.start() for d in dots[1:]), m.end()]
+        known = max((k for k, d in enumerate(dots) if t[d.end() : ends[k]].lower() in TOP_LEVEL), default=-1)
+        edits = [(*m.span(1), "@")] if m.group(1) != "@" else []
+        edits += [(*d.span(), ".") for d in dots[: known + 1] if d.group() != "."]
+        out += edits if known >= 0 else []
+    return out
+
+
+def rewrite(t: str, mixed: bool = False) -> Rewritten:
+    """``t`` without disguises; digits as words in rows of their own, or (``mixed``) next to digits too."""
     r = Rewritten(t)
     if not t.isascii():
         r.edit([(m.start(), m.end(), _plain_char(m.group())) for m in _ODD.finditer(r.text)])
     r.edit([(*m.span(), "@") for m in _BRACKET_AT.finditer(r.text)])
     r.edit([(*m.span(), ".") for m in _BRACKET_DOT.finditer(r.text)])
-    spans = []
-    for m in _PLAIN.finditer(r.text):
-        if re.split(r"\W|_", m.group())[-1].lower() not in TOP_LEVEL:
-            continue
-        spans += [(*m.span(1), "@")] if m.group(1) != "@" else []
-        spans += [(*d.span(), ".") for d in _PLAIN_DOT.finditer(r.text, m.end(1), m.end())]
-    r.edit(spans)
-    r.edit(_spelled_edits(r.text))
+    r.edit(_host_edits(r.text))
+    r.edit((_mixed_edits if mixed else _spelled_edits)(r.text))
     return r
 
 
@@ -203,9 +250,10 @@ def find_spans(t: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
     base = base_spans(t)
     if not t or not disguised(t):
         return base, []
-    r, added = rewrite(t), []
-    taken = sorted((s, e) for _, s, e in base)
-    for kind, s, e in base_spans(r.text):
+    added, taken = [], sorted((s, e) for _, s, e in base)
+    # a mixed run may swallow what a strict one holds (a number before a card), so both are searched
+    versions = [rewrite(t), *([rewrite(t, True)] if _mixes_digits(t) else [])]
+    for r, (kind, s, e) in ((r, x) for r in versions for x in base_spans(r.text)):
         span = int(r.start[s]), int(r.end[e - 1])
         if not r.edited[s:e].any() and span[1] - span[0] == e - s:  # characters without width leave no mark
             continue

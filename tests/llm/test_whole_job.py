@@ -63,3 +63,16 @@ def test_disguises_beside_a_fragment():
         assert [(k, f"mail {t} now"[s:e]) for k, s, e in added] == [("email", t)], t
         assert pii.mask(f"mail {t} now") == "mail [EMAIL] now"
     assert pii.find_spans("joe@example.com is plain")[1] == []
+
+
+def test_wider_disguises():
+    for t, kind, found in [
+        ("ask jane at example.com today", "email", "jane at example.com"), ("ask jane_at_example.com today", "email", "jane_at_example.com"), ("jane_at_example_dot_com", "email", "jane_at_example_dot_com"), ("jane at mail.example.com.Then", "email", "jane at mail.example.com.Then"),
+        ("ring +1 555 one two three 4567 now", "phone", "+1 555 one two three 4567"), ("ring plus 1 (five five five) 123 4567 now", "phone", "plus 1 (five five five) 123 4567"), ("ring plus one five five five one\ntwo three\tfour [five] six seven now", "phone", "plus one five five five one\ntwo three\tfour [five] six seven"),
+        ("card 4111 1111 one one one one 1111 ok", "card", "4111 1111 one one one one 1111"), ("host 192.168.one.7 up", "ip", "192.168.one.7"), ("7, " + "four two " * 8, "card", ("four two " * 8).strip()),
+    ]:
+        base, added = pii.find_spans(t)
+        assert (kind, found) in [(k, t[s:e]) for k, s, e in added], (t, base, added)
+        assert found not in pii.mask(t)
+    for t in ["met at noon.then left", "one of 5 or two", "look at this.one", "chapter one 2 three", "un un un", "_at_" * 20_000, "a at " * 20_000, "one " * 50_000, "1 one," * 20_000, "x." * 50_000]:
+        assert pii.find_spans(t)[1] == [], t[:40]
