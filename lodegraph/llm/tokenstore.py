@@ -1,7 +1,7 @@
 """Operator 7, token ids in a compressed file format.
 
 Texts are tokenised once into a scratch table. Global counts give a canonical Huffman code of at most
-16 bits (package-merge, so the lengths are optimal under that limit). Documents in ascending id order
+16 bits, or more where over 65,536 ids are in use (package-merge, so the lengths are optimal under that limit). Documents in ascending id order
 are packed into blocks of whole documents; a block holds its ids, token counts, the bit stream and the
 bit offset of every 256th token, so it is decoded by itself, all stretches between offsets at once,
 with one table look-up a token. A store is a folder: ``header`` has the code lengths, ``blocks`` the
@@ -14,14 +14,14 @@ document is one block at most, so a block is bounded by the larger of the block
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,16 +30,26 @@ from pyspark.taskcontext import TaskContext
 from .common import arrow_map, discard, materialize, scratch_root, text_slices
 
 LIMIT = 16
-BLOCK_TOKENS, CHECKPOINT, PART_TOKENS = 1 << 17, 256, 1 << 23
+BLOCK_TOKENS, CHECKPOINT = 1 << 17, 256
+#: Tokens of a file, and files at most: beyond, files grow with the corpus (a file is written as a stream of blocks).
+PART_TOKENS, MOST_PARTS = 1 << 23, 20_000
 #: Words of a generation that each Python worker keeps with their ids, and the longest of them.
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
-_CHUNKS = re.compile(r"[^ \t\n\r]+").findall
+#: Bytes of text that are split at once.
+CHARS_AT_ONCE = 8_000_000
+#: New words that go to the library at once.
+WORDS_AT_ONCE = 4096
+#: ASCII characters that are neither letters, digits nor white space.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Lengths (0: unused) of an optimal prefix code of at most ``limit`` bits."""
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Lengths (0: unused) of an optimal prefix code of at most ``limit`` bits; by default 16, or one more
+    than codes of one length need where more than 65,536 ids are in use."""
     out = np.zeros(len(counts), np.uint8)
     used = np.flatnonzero(counts)
+    if limit is None:
+        limit = LIMIT if len(used) <= 1 << LIMIT else (len(used) - 1).bit_length() + 1
     if len(used) < 2:
         out[used] = 1
         return out
@@ -63,22 +73,27 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     return out
 
 
+def width(lengths: np.ndarray) -> int:
+    """Bits that a code of these lengths is looked up by; 25 at most, as a look-up reads four bytes."""
+    return max(LIMIT, int(lengths.max(initial=0)))
+
+
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
-    """Codes by (length, id), left-aligned in 16 bits."""
+    """Codes by (length, id), left-aligned in ``width(lengths)`` bits."""
     used = np.flatnonzero(lengths)
     used = used[np.argsort(lengths[used], kind="stable")]
-    size = np.int64(1) << (LIMIT - lengths[used].astype(np.int64))
-    codes = np.zeros(len(lengths), np.uint16)
-    codes[used] = (np.cumsum(size) - size).astype(np.uint16)
+    size = np.int64(1) << (width(lengths) - lengths[used].astype(np.int64))
+    codes = np.zeros(len(lengths), np.uint32)
+    codes[used] = (np.cumsum(size) - size).astype(np.uint32)
     return codes
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol, length) for every 16 bits that may come next."""
+    """(symbol, length) for all that the next ``width(lengths)`` bits may be."""
     used = np.flatnonzero(lengths)
     used = used[np.argsort(lengths[used], kind="stable")]
-    size = 1 << (LIMIT - lengths[used].astype(np.int64))
-    pad = (1 << LIMIT) - int(size.sum())
+    size = 1 << (width(lengths) - lengths[used].astype(np.int64))
+    pad = (1 << width(lengths)) - int(size.sum())
     symbol, length = np.repeat(used, size), np.repeat(lengths[used], size)
     return np.pad(symbol, (0, pad)).astype(np.uint32), np.pad(length, (0, pad), constant_values=1).astype(np.int64)
 
@@ -90,7 +105,7 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tup
     n = lengths[ids].astype(np.int64)
     ends = np.cumsum(n)
     begin = ends - n
-    code = codes[ids].astype(np.uint64) << np.uint64(64 - LIMIT)  # left-aligned
+    code = codes[ids].astype(np.uint64) << np.uint64(64 - width(lengths))  # left-aligned
     word, place = begin >> 6, (begin & 63).astype(np.uint64)
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     out = np.zeros(int(ends[-1] + 63) // 64 + 1, np.uint64)
@@ -102,8 +117,10 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tup
 
 def decode_block(payload: bytes, offsets: np.ndarray, n_tokens: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     symbol, length = table
-    b = np.frombuffer(payload + b"\0\0\0", np.uint8).astype(np.uint32)
-    wide = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+    bits = len(symbol).bit_length() - 1
+    b = np.frombuffer(payload + b"\0\0\0\0", np.uint8).astype(np.uint32)
+    wide = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
+    shift, mask = 32 - bits, np.uint32((1 << bits) - 1)
     at = offsets.astype(np.int64)
     out = np.zeros((len(at), CHECKPOINT), np.uint32)
     last = n_tokens - CHECKPOINT * (len(at) - 1)
@@ -112,28 +129,37 @@ def decode_block(payload: bytes, offsets: np.ndarray, n_tokens: int, table: tupl
             at = at[:-1]
         if not len(at):
             break
-        w = (wide[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
+        w = (wide[at >> 3] >> (shift - (at & 7)).astype(np.uint32)) & mask
         out[: len(at), k] = symbol[w]
         at = at + length[w]
     return out.reshape(-1)[:n_tokens]
 
 
-def _chunks(t: str) -> list[str]:
-    """The text's parts between white space, which never stands in a token; a Latin-1 text in lower
-    case, as the vocabulary folds case itself and letter by letter."""
+def _plain(t: str) -> str | None:
+    """A Latin-1 text in lower case, as the vocabulary folds case itself and letter by letter; None for
+    others, and where something that is white space to Arrow but not to the vocabulary or a special
+    token may stand."""
     try:
         t.encode("latin-1")
     except UnicodeEncodeError:
-        return _CHUNKS(t)
-    if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t or "<|" in t:  # not white space to the vocabulary; special tokens
-        return _CHUNKS(t)
-    return t.lower().split()
+        return None
+    return None if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t or "<|" in t else t.lower()
+
+
+def _word_head(chunk: str) -> str | None:
+    """The letters before a chunk's closing ASCII punctuation, if it is letters and punctuation and the
+    two are apart to the vocabulary whatever it normalises: the last letter is of Latin-1, which no
+    case folding or composition ends in a mark."""
+    head = chunk.rstrip(_MARKS)
+    return head if head and len(head) < len(chunk) and head[-1] <= "\xff" and head.isalpha() else None
 
 
 class Encoder:
-    """Ids of whole texts by the library, chunk by chunk. The chunks of the last texts are remembered
-    in two generations, so frequent ones stay and memory is bounded. Letters and the one punctuation
-    mark after them are apart to the vocabulary and encoded apart."""
+    """Ids of whole texts by the library, chunk by chunk, for vocabularies that mark word ends (others
+    encode whole texts). The chunks of the last texts are remembered in two generations, so frequent
+    ones stay and memory is bounded. Letters and the punctuation after them are apart to the vocabulary
+    and encoded apart; new words of Latin-1 letters go to the library many at once, joined by spaces, and
+    their ids are told apart by the word ends."""
 
     _shared: dict[str, Encoder] = {}
 
@@ -149,6 +175,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab() if suffix else {}
+        self.last = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     @classmethod
     def forget(cls) -> None:
@@ -156,30 +186,68 @@ class Encoder:
         cls._shared.clear()
 
     def _learn(self, fresh: list[str]) -> None:
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+        words = [w for w in fresh if w.isalpha() and (w.isascii() or max(w) <= "\xff")]
+        others = list(set(fresh).difference(words))
+        for lo in range(0, len(words), WORDS_AT_ONCE):
+            some = words[lo : lo + WORDS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            stop = np.flatnonzero(self.last[ids]) * 4 + 4
+            if len(stop) != len(some):
+                raise ValueError("the vocabulary does not end words where white space does")
+            flat, at = ids.tobytes(), 0
+            for w, end in zip(some, stop.tolist()):
+                self.young[w] = flat[at:end]
+                at = end
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             self.young[w] = np.array(e.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
-        chunks = [_chunks(t) for t in texts]
-        wanted = set(itertools.chain.from_iterable(chunks)).difference(self.young)  # looks each of its own up
-        split = [w for w in wanted if w[-1] in ".,;:!?" and w[:-1].isalpha()]
-        wanted.update(w[:-1] for w in split)
-        wanted.update(".,;:!?")
-        wanted.difference_update(split)
-        young, old, fresh = self.young, self.old, []
-        for w in wanted:
-            if w in old:
-                young[w] = old[w]
-            elif w not in young:
-                fresh.append(w)
-        self._learn(fresh)
-        get, tail = self.young.__getitem__, np.array([end], np.uint32).tobytes()
-        self.young.update((w, get(w[:-1]) + get(w[-1])) for w in split)
-        out = [b"".join([*map(get, words), tail]) for words in chunks]
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = {w: x for w, x in self.young.items() if len(w) <= CACHE_CHARS}, {}
-        return out
+        tail = np.array([end], np.uint32).tobytes()
+        if not len(self.last):
+            return [np.array(e.ids, np.uint32).tobytes() + tail for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [_plain(t) for t in texts]
+        odd = [t for t, p in zip(texts, plain) if p is None]
+        # white space never stands in a token
+        easy = self._encode_chunks(pc.utf8_split_whitespace(pa.array([p for p in plain if p is not None], pa.string())))
+        hard = self._encode_chunks(pc.split_pattern_regex(pa.array(odd, pa.string()), "[ \\t\\n\\r]+"))
+        return [next(hard if p is None else easy) + tail for p in plain]
+
+    def _encode_chunks(self, texts: pa.ListArray) -> Iterator[bytes]:
+        """The ids of texts given as lists of chunks: looked up once a distinct chunk and dealt out."""
+        chunks = texts.flatten().dictionary_encode()
+        found = self._look_up(chunks.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        held, at = np.frombuffer(b"".join(found), np.uint32), chunks.indices.to_numpy()
+        n, first = size[at], (np.cumsum(size) - size)[at]
+        ends = np.cumsum(n)
+        flat = held[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.concatenate([[0], ends])[texts.offsets.to_numpy() - texts.offsets[0].as_py()].tolist()
+        return (flat[lo:hi].tobytes() for lo, hi in zip(stops, stops[1:]))
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        young, old = self.young, self.old
+        young.setdefault("", b"")
+        found = [*map(young.get, chunks)]
+        missing = [w for w, x in zip(chunks, found) if x is None]
+        if missing:
+            again = [*map(old.get, missing)]
+            young.update((w, x) for w, x in zip(missing, again) if x is not None)
+            missing = [w for w, x in zip(missing, again) if x is None]
+            heads = [*map(_word_head, missing)]
+            wanted = {w if head is None else head for w, head in zip(missing, heads)}
+            wanted.update({w[len(head) :] for w, head in zip(missing, heads) if head is not None})
+            wanted.difference_update(young)
+            known = [w for w in wanted if w in old]
+            young.update((w, old[w]) for w in known)
+            self._learn([*wanted.difference(known)])
+            get = young.__getitem__
+            young.update((w, get(head) + get(w[len(head) :])) for w, head in zip(missing, heads) if head is not None)
+            found = [get(w) if x is None else x for w, x in zip(chunks, found)]
+        if len(young) > CACHE_WORDS:
+            self.old, self.young = {w: x for w, x in young.items() if len(w) <= CACHE_CHARS}, {}
+        return found
 
 
 def tokenise(docs: DataFrame, vocabulary: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +256,7 @@ def tokenise(docs: DataFrame, vocabulary: str, end: int = 2, id_col: str = "doc_
     def run(batch: pa.RecordBatch):
         encoder = Encoder.shared(vocabulary)
         pack = zstandard.ZstdCompressor(level=1).compress
-        for part in text_slices(batch, 1, 1_500_000):
+        for part in text_slices(batch, 1, CHARS_AT_ONCE):
             ids = encoder.encode([x or "" for x in part.column(1).to_pylist()], end)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(_halves(x)) for x in ids], pa.binary())], names=["id", "ids"])
 
@@ -263,7 +331,7 @@ def write_store(tokens: DataFrame, path: str) -> None:
         if docs:
             yield flush()
 
-    n = max(1, -(-int(counts.sum()) // PART_TOKENS))
+    n = max(1, min(MOST_PARTS, -(-int(counts.sum()) // PART_TOKENS)))
     ordered = tokens.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     ordered.mapInArrow(run, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
