@@ -28,19 +28,22 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import arrow_map, discard, materialize, scratch_root, text_slices
+from .pieces import _spread
 
 LIMIT = 16
 BLOCK_TOKENS, CHECKPOINT = 1 << 17, 256
 #: Tokens of a file, and files at most: beyond, files grow with the corpus (a file is written as a stream of blocks).
 PART_TOKENS, MOST_PARTS = 1 << 23, 20_000
-#: Words of a generation that each Python worker keeps with their ids, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Words and other pieces that each Python worker keeps with their ids, and the longest of them.
+CACHE_WORDS, CACHE_BYTES = 250_000, 48
 #: Bytes of text that are split at once.
-CHARS_AT_ONCE = 8_000_000
+CHARS_AT_ONCE = 4_500_000
 #: New words that go to the library at once.
 WORDS_AT_ONCE = 4096
 #: ASCII characters that are neither letters, digits nor white space.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of Latin-1 letters.
+_LETTERS = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"
 
 
 def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
@@ -146,20 +149,26 @@ def _plain(t: str) -> str | None:
     return None if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t or "<|" in t else t.lower()
 
 
-def _word_head(chunk: str) -> str | None:
-    """The letters before a chunk's closing ASCII punctuation, if it is letters and punctuation and the
-    two are apart to the vocabulary whatever it normalises: the last letter is of Latin-1, which no
-    case folding or composition ends in a mark."""
-    head = chunk.rstrip(_MARKS)
-    return head if head and len(head) < len(chunk) and head[-1] <= "\xff" and head.isalpha() else None
+def _head_and_marks(chunks: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
+    """Each chunk of Latin-1 letters and ASCII punctuation after them in two, others whole and an empty
+    string. The two are apart to the vocabulary, whatever it normalises: letters of Latin-1 stay letters."""
+    heads = pc.utf8_rtrim(chunks, characters=_MARKS)
+    apart = pc.match_substring_regex(heads, _LETTERS)
+    size, whole = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (heads, chunks))
+    n = np.where(apart.to_numpy(zero_copy_only=False), whole - size, 0)
+    data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
+    start = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset :][: len(chunks)].astype(np.int64)
+    marks = data[_spread(start + size, n)]
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    return pc.if_else(apart, heads, chunks), pa.StringArray.from_buffers(len(chunks), pa.py_buffer(offsets), pa.py_buffer(marks))
 
 
 class Encoder:
     """Ids of whole texts by the library, chunk by chunk, for vocabularies that mark word ends (others
-    encode whole texts). The chunks of the last texts are remembered in two generations, so frequent
-    ones stay and memory is bounded. Letters and the punctuation after them are apart to the vocabulary
-    and encoded apart; new words of Latin-1 letters go to the library many at once, joined by spaces, and
-    their ids are told apart by the word ends."""
+    encode whole texts). The pieces of the last slices of text are remembered with their ids in Arrow
+    and numpy arrays, the least recent leave first, so memory is bounded. Letters and the punctuation
+    after them are apart to the vocabulary and encoded apart; new words of Latin-1 letters go to the
+    library many at once, joined by spaces, and their ids are told apart by the word ends."""
 
     _shared: dict[str, Encoder] = {}
 
@@ -174,33 +183,18 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab() if suffix else {}
         self.last = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.known, self.flat, self.size = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     @classmethod
     def forget(cls) -> None:
         """Give back what this worker remembers, for stages that do not encode."""
         cls._shared.clear()
 
-    def _learn(self, fresh: list[str]) -> None:
-        words = [w for w in fresh if w.isalpha() and (w.isascii() or max(w) <= "\xff")]
-        others = list(set(fresh).difference(words))
-        for lo in range(0, len(words), WORDS_AT_ONCE):
-            some = words[lo : lo + WORDS_AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            stop = np.flatnonzero(self.last[ids]) * 4 + 4
-            if len(stop) != len(some):
-                raise ValueError("the vocabulary does not end words where white space does")
-            flat, at = ids.tobytes(), 0
-            for w, end in zip(some, stop.tolist()):
-                self.young[w] = flat[at:end]
-                at = end
-        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self.young[w] = np.array(e.ids, np.uint32).tobytes()
-
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
         tail = np.array([end], np.uint32).tobytes()
@@ -214,40 +208,56 @@ class Encoder:
         return [next(hard if p is None else easy) + tail for p in plain]
 
     def _encode_chunks(self, texts: pa.ListArray) -> Iterator[bytes]:
-        """The ids of texts given as lists of chunks: looked up once a distinct chunk and dealt out."""
+        """The ids of texts given as lists of chunks: looked up once a distinct piece and dealt out."""
         chunks = texts.flatten().dictionary_encode()
-        found = self._look_up(chunks.dictionary.to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        held, at = np.frombuffer(b"".join(found), np.uint32), chunks.indices.to_numpy()
-        n, first = size[at], (np.cumsum(size) - size)[at]
-        ends = np.cumsum(n)
-        flat = held[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        stops = np.concatenate([[0], ends])[texts.offsets.to_numpy() - texts.offsets[0].as_py()].tolist()
-        return (flat[lo:hi].tobytes() for lo, hi in zip(stops, stops[1:]))
-
-    def _look_up(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks."""
-        young, old = self.young, self.old
-        young.setdefault("", b"")
-        found = [*map(young.get, chunks)]
-        missing = [w for w, x in zip(chunks, found) if x is None]
-        if missing:
-            again = [*map(old.get, missing)]
-            young.update((w, x) for w, x in zip(missing, again) if x is not None)
-            missing = [w for w, x in zip(missing, again) if x is None]
-            heads = [*map(_word_head, missing)]
-            wanted = {w if head is None else head for w, head in zip(missing, heads)}
-            wanted.update({w[len(head) :] for w, head in zip(missing, heads) if head is not None})
-            wanted.difference_update(young)
-            known = [w for w in wanted if w in old]
-            young.update((w, old[w]) for w in known)
-            self._learn([*wanted.difference(known)])
-            get = young.__getitem__
-            young.update((w, get(head) + get(w[len(head) :])) for w, head in zip(missing, heads) if head is not None)
-            found = [get(w) if x is None else x for w, x in zip(chunks, found)]
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = {w: x for w, x in young.items() if len(w) <= CACHE_CHARS}, {}
-        return found
+        pieces = pa.concat_arrays(_head_and_marks(chunks.dictionary)).dictionary_encode()
+        flat, first, size = self._look_up(pieces.dictionary)
+        both = pieces.indices.to_numpy().reshape(2, -1).T
+        held, n = flat[_spread(first[both.ravel()], size[both.ravel()])], size[both].sum(axis=1)
+        at = chunks.indices.to_numpy()
+        out = held[_spread((np.cumsum(n) - n)[at], n[at])]
+        stops = np.concatenate([[0], np.cumsum(n[at])])[texts.offsets.to_numpy()].tolist()
+        return (out[lo:hi].tobytes() for lo, hi in zip(stops, stops[1:]))
+
+    def _look_up(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each piece's begin, how many) of distinct pieces, which are the latest to be known then."""
+        at = pc.index_in(pieces, value_set=self.known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy()[~new]
+        fresh, first_new, size_new = self._learn(pieces.filter(pa.array(new)))
+        first, size = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        first[~new], size[~new] = (np.cumsum(self.size) - self.size)[at], self.size[at]
+        first[new], size[new] = first_new + len(self.flat), size_new
+        flat = np.concatenate([self.flat, fresh])
+        rest = np.ones(len(self.known), bool)
+        rest[at] = False
+        short = np.flatnonzero(pc.binary_length(pieces).to_numpy(zero_copy_only=False) <= CACHE_BYTES)[:CACHE_WORDS]
+        rest = np.flatnonzero(rest)[: CACHE_WORDS - len(short)]
+        begin = np.concatenate([first[short], (np.cumsum(self.size) - self.size)[rest]])
+        self.known = pa.concat_arrays([pieces.take(pa.array(short)), self.known.take(pa.array(rest))])
+        self.size = np.concatenate([size[short], self.size[rest]])
+        self.flat = flat[_spread(begin, self.size)]
+        return flat, first, size
+
+    def _learn(self, fresh: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each piece's begin, how many) by the library."""
+        letters = pc.match_substring_regex(fresh, _LETTERS)
+        words, others = fresh.filter(letters), fresh.filter(pc.invert(letters)).to_pylist()
+        ids, ends = [], [np.zeros(1, np.int64)]
+        for lo in range(0, len(words), WORDS_AT_ONCE):
+            some = words.slice(lo, WORDS_AT_ONCE).to_pylist()
+            ids.append(np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32))
+            ends.append(ends[-1][-1] + np.flatnonzero(self.last[ids[-1]]) + 1)
+            if len(ends[-1]) != len(some):
+                raise ValueError("the vocabulary does not end words where white space does")
+        several = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        n = np.empty(len(fresh), np.int64)
+        at = letters.to_numpy(zero_copy_only=False)
+        n[at], n[~at] = np.diff(np.concatenate(ends)), np.fromiter(map(len, several), np.int64, len(several))
+        order = np.argsort(~at, kind="stable")
+        first = np.empty(len(fresh), np.int64)
+        first[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate([np.zeros(0, np.uint32), *ids, *several]), first, n
 
 
 def tokenise(docs: DataFrame, vocabulary: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
