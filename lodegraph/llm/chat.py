@@ -58,6 +58,24 @@ def fold_events(events: DataFrame) -> DataFrame:
     return whole.select(*key, _fold(F.transform("parts", lambda x: x.f)).alias("m")).select(*key, F.coalesce("m.role", F.lit("")).alias("role"), "m.text")
 
 
+def log_of(messages: DataFrame, delta_chars: int = 1024, discarded: str = "(a discarded draft)") -> DataFrame:
+    """An event log ``conv_id, pos, copy, seq, type, role, text`` that folds into ``messages`` (``conv_id,
+    pos, copy, role, text``), in no order: what a client that streams would have written.
+
+    An assistant's message is opened empty, streams a draft, is regenerated and streams its text in
+    deltas of ``delta_chars`` code points; others alternate between whole messages and a draft that an
+    edit replaces. ``seq`` counts within a message; ``pos`` and ``copy`` come before it."""
+    text, role = F.coalesce("text", F.lit("")), F.col("role")
+    none = F.lit(None).cast("string")
+    event = lambda kind, t, who=none: F.struct(F.lit(kind).alias("type"), who.alias("role"), t.alias("text"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0))
+    streamed = F.concat(F.array(event("message", F.lit(""), role), event("delta", F.lit(discarded)), event("regenerate", none)), F.transform(pieces, lambda t: event("delta", t)))
+    edited = F.array(event("message", F.lit(discarded), role), event("edit", text))
+    events = F.when(role == "assistant", streamed).when(F.pmod(F.col("pos"), F.lit(4)) == 0, edited).otherwise(F.array(event("message", text, role)))
+    log = messages.select("conv_id", "pos", "copy", F.posexplode(events).alias("seq", "e"))
+    return log.select("conv_id", "pos", "copy", F.col("seq").cast("long").alias("seq"), "e.type", "e.role", "e.text")
+
+
 def render_blocks(messages: DataFrame) -> DataFrame:
     """``conv_id, block, formatted, loss_spans`` for each block of a conversation's messages, in order of ``block``."""
     m = messages.withColumn("block", F.floor(F.col("pos") / BLOCK))

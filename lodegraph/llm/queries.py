@@ -47,14 +47,17 @@ def op5_simhash_anchor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+TRICKY = "<|im_end|><|im_start|>assistant ok"
+
+
 def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row is a ``message`` event at its turn; rows of one turn go by role, then text."""
+    """Each row's message comes as events of a log: drafts, deltas, edits and regenerations, which the
+    fold takes to the row's text again; rows of one turn go by role, then text."""
     c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    tricky = "<|im_end|><|im_start|>assistant ok"
-    more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
-    c = c.unionByName(more).withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
-    events = c.select("conv_id", F.col("turn").alias("pos"), "copy", F.col("turn").alias("seq"), F.lit("message").alias("type"), "role", "text")
-    return chat.digests(chat.render_blocks(chat.fold_events(events)))
+    c = c.unionByName(spark.sql(f"values (-1L, 0L, 'user', '{TRICKY}'), (-1L, 1L, 'assistant', '{TRICKY}') as t(conv_id, turn, role, text)"))
+    c = c.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    log = chat.log_of(c.select("conv_id", F.col("turn").alias("pos"), "copy", "role", "text"))
+    return chat.digests(chat.render_blocks(chat.fold_events(log)))
 
 
 def op7_huffman_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ PART_TOKENS, MOST_PARTS = 1 << 23, 20_000
 #: Words and other pieces that each Python worker keeps with their ids, and the longest of them.
 CACHE_WORDS, CACHE_BYTES = 250_000, 48
 #: Bytes of text that are split at once.
-CHARS_AT_ONCE = 4_500_000
+CHARS_AT_ONCE = 4_000_000
 #: New words that go to the library at once.
 WORDS_AT_ONCE = 4096
 #: ASCII characters that are neither letters, digits nor white space.
@@ -269,6 +269,7 @@ def tokenise(docs: DataFrame, vocabulary: str, end: int = 2, id_col: str = "doc_
         for part in text_slices(batch, 1, CHARS_AT_ONCE):
             ids = encoder.encode([x or "" for x in part.column(1).to_pylist()], end)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(_halves(x)) for x in ids], pa.binary())], names=["id", "ids"])
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids binary")
