@@ -96,10 +96,11 @@ with recursive urls as (select page_id, url, case when contains(url, '://') then
 u0 as (select page_id, translate(coalesce({_HOST}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
   coalesce(regexp_extract(after, '^[^/?#]*([^?#]*)', 1), '') as path from urls),
 rules(rhost, rpath, rverdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-parts as (select *, string_split(host, '.') as ps from u0),
-u as (select page_id, host, path,
-  len(ps) >= 3 and ps[-2] in ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') and len(ps[-1]) = 2 as two, ps from parts),
-v as (select page_id, host, path, array_to_string(ps[-(case when two then 3 else 2 end):], '.') as domain, array_to_string(ps[-(case when two then 2 else 1 end):], '.') as suffix from u),
+names as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?$|\.(:[0-9]*)?$', '') as name from u0),
+parts as (select *, string_split(name, '.') as ps, regexp_matches(name, '^([0-9]+(\.[0-9]+){{3}}|\[.*)$') as address from names),
+u as (select *, not address and len(ps) >= 3 and ((ps[-2] in {urls.SECOND_LEVEL} and len(ps[-1]) = 2) or array_to_string(ps[-2:], '.') in {urls.HOSTING}) as two from parts),
+v as (select page_id, host as full_host, path, name as host, case when address then name else array_to_string(ps[-(case when two then 3 else 2 end):], '.') end as domain,
+  case when address then '{urls.ADDRESS}' else array_to_string(ps[-(case when two then 2 else 1 end):], '.') end as suffix from u),
 outcomes as (select v.host, v.domain, v.suffix, case when l.quality = 0 or l.toxic = 1 then 1 else 0 end as bad from v join labels l on v.page_id = l.doc_id),
 hosts as (select distinct host, domain, suffix from v),
 h as (select host, min(domain) as domain, min(suffix) as suffix, count(*) as n, sum(bad) as b from outcomes group by host),
@@ -117,16 +118,20 @@ kh as (select {urls.STRENGTH} as k from h0),
 a as (select x.host, coalesce(h0.n, 0) as n, coalesce(h0.b, 0) as b, coalesce(d1.post, s1.post, (select m from g)) as m
   from hosts x left join h0 on x.host = h0.host left join d1 on x.domain = d1.domain left join s1 on x.suffix = s1.suffix),
 p as (select host, b + (select k from kh) * m as al, n - b + (select k from kh) * (1 - m) as be from a),
-rep as (select host, al / (al + be) - 1.645 * sqrt(al * be / ((al + be) * (al + be) * (al + be + 1))) as bad_bound from p),
+below as (select host, al, be, exp(al * ln(0.5) + be * ln(0.5) - ln(al) - lgamma(al) - lgamma(be) + lgamma(al + be))
+  * list_sum(list_transform(range(0, 401), lambda k: exp(lgamma(al + be + k) - lgamma(al + be) + lgamma(al + 1) - lgamma(al + 1 + k) + k * ln(0.5)))) as low from p where al >= 0.475 * (al + be) and al + be <= 400),
+score as (select host, 3.0 * (cbrt(be * 0.5) * (1.0 - 1.0 / (9.0 * be)) - cbrt(al * 0.5) * (1.0 - 1.0 / (9.0 * al))) / sqrt(cbrt(be * 0.5) ** 2 / be + cbrt(al * 0.5) ** 2 / al) as z from p where al >= 0.475 * (al + be) and al + be > 400),
+rep as (select host from below where low <= 0.05 union all select host from score where z <= -1.645),
 fit as (select v.page_id, rhost || rpath as rule, rverdict, row_number() over (partition by v.page_id order by length(rhost || rpath) desc, rverdict desc) as k
-  from v join rules on (v.host = rhost or v.host like '%.' || rhost) and starts_with(v.path, rpath))
-select v.page_id, v.host, v.path, fit.rule, coalesce(fit.rverdict, case when rep.bad_bound > 0.5 then 'block' else 'allow' end) as verdict
+  from v join rules on (v.full_host = rhost or v.full_host like '%.' || rhost) and starts_with(v.path, rpath))
+select v.page_id, v.full_host as host, v.path, fit.rule, coalesce(fit.rverdict, case when rep.host is not null then 'block' else 'allow' end) as verdict
 from v left join rep on v.host = rep.host left join fit on v.page_id = fit.page_id and fit.k = 1
 """
 
 OP4_SQL = r"""
 with recursive d as (select doc_id as id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-  coalesce(greatest(0.05::double, 1.0::double - 5.0::double * ((length(text) - length(translate(text, '#*$%&|<>', '')))::double / greatest(length(text), 1)::double)), 0.05::double) as w from documents),
+  greatest(0.05::double, coalesce(length(regexp_replace(text, '\P{L}+', '', 'g'))::double / nullif(length(translate(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')), 0)::double
+    * (len(list_distinct(string_split(text, chr(10))))::double / len(string_split(text, chr(10)))::double), 0.05::double)) as w from documents),
 k as (select id, source, size, -ln((('0x' || substr(md5('mix:' || coalesce(id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double) / w as key from d),
 s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as n from k group by source),
 t as (select source, source_size, n, [5.0, 2.0, 1.0][((n - 1) % 3 + 1)::int]::double as w, 3.0::double * source_size as cap, sum(source_size) over ()::double as total from s),
