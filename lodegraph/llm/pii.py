@@ -3,7 +3,8 @@
 Base detectors run over the text as it is. Then a chain of transducers rewrites disguises (look-alike
 characters, at/dot spellings, digits as words) and keeps, for every character it emits, the span of
 source characters it stands for; the detectors run again over the rewritten text and what they find is
-mapped back. A found span is added unless another span covers it whole.
+mapped back; nine to fifteen digits that are all words count as a phone number without a plus too. A
+found span is added unless another span covers it whole.
 
 Defined cases: a null or empty text has no spans; texts are searched whole, in time that grows with
 their length; repeated rows give the same spans; an empty table gives an empty result; further columns
@@ -118,9 +119,12 @@ _AT_WORD = "(?:at|AT|At|arroba|@)"
 _BRACKET_AT = re.compile(_OPEN + _AT_WORD + _SHUT)
 _BRACKET_DOT = re.compile(_OPEN + _DOT_WORD + _SHUT)
 _BRACKET = re.compile(rf"[\[({{<][ \t]*+(?:{_AT_WORD}|{_DOT_WORD})[ \t]*+[\])}}>]")
-_HOST_DOT = r"(?: (?:dot|DOT) |_dot_|\.)"
-_PLAIN = re.compile(rf"(?:(?<![A-Za-z0-9._%+-])|(?<=_at_))(?:(?!_at_)[A-Za-z0-9._%+-])++( at | AT |_at_|@)[A-Za-z0-9-]+(?:{_HOST_DOT}[A-Za-z0-9-]+)+")
+_LETTER_AT = re.compile(r"(?<=[A-Za-z0-9])[\[(]a[\])](?=[A-Za-z0-9])")
+_HOST_DOT = r"(?: (?:dot|DOT|punto|punkt|point|\.) |_dot_|\.)"
+_PLAIN = re.compile(rf"(?:(?<![A-Za-z0-9._%+-])|(?<=_at_))(?:(?!_at_)[A-Za-z0-9._%+-])++( at | AT |_at_| arroba | arobase | ?@ ?)[A-Za-z0-9-]+(?:{_HOST_DOT}[A-Za-z0-9-]+)+")
 _AT_HOST = re.compile(rf"(?: at | AT |_at_)[A-Za-z0-9-]+{_HOST_DOT}[A-Za-z0-9-]")
+# Dots that count only after these ats, as sentences hold them too.
+_DOT_NEEDS = {" point ": (" arobase ",), " . ": ("@", " @ ", "@ ", " @")}
 _DOTS = re.compile(_HOST_DOT)
 _NUMBER = "(?:" + "|".join(sorted({w for v in DIGIT_WORDS.values() for w in v} | {"oh"}, key=lambda w: (-len(w), w))) + ")"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]+)?{_NUMBER}(?:(?:[ ]?[,-][ ]?|[ ]+){_NUMBER}){{3,}}(?!\w)|(?<!\w)(?:plus[ ,-]+)?{_NUMBER}(?:(?:[ ]?[,-][ ]?|[ ]+)(?:{_NUMBER}|dot|point)){{4,}}(?!\w)", re.IGNORECASE)
@@ -130,8 +134,10 @@ _ITEM = re.compile(rf"(?<!\w)({_NUMBER}|dot|point|plus)(?!\w)|[0-9]++|\+", re.IG
 _GAP, _DIGIT_GAP = re.compile(r"[\s,()\[\]{}<>/.-]{0,6}"), re.compile(r"[\x20().-]{0,3}")
 _MARKS = str.maketrans({c: " " for c in ",()[]{}<>/.-"} | {"+": " + "})
 _NUMBERS = frozenset(w for w in _VALUE if w not in (".", "plus"))
-# Last labels that a host spelled out without brackets must end in.
+# Last labels that a host spelled out without brackets must end in; after a dot spelled as a
+# word, any label of two letters or one of the others below will do.
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz name io ai app dev co me tv us uk eu de fr es it nl be ch at pl pt ru cn jp in br mx ca au example test".split())
+MORE_TOP_LEVEL = frozenset("academy agency app art blog cafe cat center city cloud club design digital email events expert family finance global group guru host house ink jobs live ltd media mobi museum news one online page photos pro rocks shop site social software solutions space store studio support systems team tech tools top travel tv video vip website wiki work world xyz zone".split())
 
 
 def _plain_char(c: str) -> str:
@@ -215,9 +221,17 @@ def _mixed_edits(t: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_RUN = re.compile(r"(?<![0-9.+])[0-9]++(?!\.[0-9])")
+_COUNTING = "0123456789" * 3
+
+
 def disguised(t: str) -> bool:
     """Whether any transducer may have work to do; cheap tests first."""
-    return bool((not t.isascii() and _ODD.search(t)) or _BRACKET.search(t) or _AT_HOST.search(t) or (("dot" in t or "DOT" in t) and _PLAIN.search(t)) or _spells_digits(t) or _mixes_digits(t))
+    if (not t.isascii() and _ODD.search(t)) or _BRACKET.search(t) or _AT_HOST.search(t) or "(a)" in t or "[a]" in t:
+        return True
+    if "@ " in t or " @" in t or " arroba " in t or " arobase " in t or (("dot" in t or "DOT" in t) and _PLAIN.search(t)):
+        return True
+    return _spells_digits(t) or _mixes_digits(t)
 
 
 def _host_edits(t: str) -> list[tuple[int, int, str]]:
@@ -226,19 +240,33 @@ def _host_edits(t: str) -> list[tuple[int, int, str]]:
     for m in _PLAIN.finditer(t):
         dots = list(_DOTS.finditer(t, m.end(1), m.end()))
         ends = [*(d.start() for d in dots[1:]), m.end()]
-        known = max((k for k, d in enumerate(dots) if t[d.end() : ends[k]].lower() in TOP_LEVEL), default=-1)
+        fine = next((k for k, d in enumerate(dots) if m.group(1) not in _DOT_NEEDS.get(d.group(), (m.group(1),))), len(dots))
+        known = max((k for k in range(fine) if _is_last_label(t[dots[k].end() : ends[k]].lower(), dots[k].group())), default=-1)
         edits = [(*m.span(1), "@")] if m.group(1) != "@" else []
         edits += [(*d.span(), ".") for d in dots[: known + 1] if d.group() != "."]
         out += edits if known >= 0 else []
     return out
 
 
+def _is_last_label(label: str, dot: str) -> bool:
+    return label in TOP_LEVEL or (dot.strip(" _").isalpha() and ((len(label) == 2 and label.isalpha()) or label in MORE_TOP_LEVEL))
+
+
+def _spoken_phones(r: Rewritten) -> list[tuple[str, int, int]]:
+    """Runs of 9 to 15 digits that were all words, with or without a plus; counting up is none."""
+    if not r.edited.any():
+        return []
+    runs = ((m.start(), m.end()) for m in _RUN.finditer(r.text) if 9 <= m.end() - m.start() <= 15)
+    return [("phone", s, e) for s, e in runs if r.edited[s:e].all() and r.text[s:e] not in _COUNTING]
+
+
 def rewrite(t: str, mixed: bool = False) -> Rewritten:
     """``t`` without disguises; digits as words in rows of their own, or (``mixed``) next to digits too."""
     r = Rewritten(t)
     if not t.isascii():
         r.edit([(m.start(), m.end(), _plain_char(m.group())) for m in _ODD.finditer(r.text)])
     r.edit([(*m.span(), "@") for m in _BRACKET_AT.finditer(r.text)])
+    r.edit([(*m.span(), "@") for m in _LETTER_AT.finditer(r.text)])
     r.edit([(*m.span(), ".") for m in _BRACKET_DOT.finditer(r.text)])
     r.edit(_host_edits(r.text))
     r.edit((_mixed_edits if mixed else _spelled_edits)(r.text))
@@ -250,17 +278,20 @@ def find_spans(t: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
     base = base_spans(t)
     if not t or not disguised(t):
         return base, []
-    added, taken = [], sorted((s, e) for _, s, e in base)
     # a mixed run may swallow what a strict one holds (a number before a card), so both are searched
     versions = [rewrite(t), *([rewrite(t, True)] if _mixes_digits(t) else [])]
-    for r, (kind, s, e) in ((r, x) for r in versions for x in base_spans(r.text)):
-        span = int(r.start[s]), int(r.end[e - 1])
-        if not r.edited[s:e].any() and span[1] - span[0] == e - s:  # characters without width leave no mark
-            continue
-        if not any(x <= span[0] and span[1] <= y for x, y in taken):
-            added.append((kind, *span))
-            taken.append(span)
-    return base, added
+    found = {(s, -e, -1): k for k, s, e in base}
+    for r in versions:
+        for kind, s, e in [*base_spans(r.text), *_spoken_phones(r)]:
+            span = int(r.start[s]), int(r.end[e - 1])
+            if r.edited[s:e].any() or span[1] - span[0] != e - s:  # characters without width leave no mark
+                found.setdefault((span[0], -span[1], KINDS.index(kind)), kind)
+    added, far = [], -1
+    for (s, e, mark), kind in sorted(found.items()):  # a span before a later one covers it if it ends no earlier
+        if mark >= 0 and -e > far:
+            added.append((kind, s, -e))
+        far = max(far, -e)
+    return base, sorted(added, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
 def listing(spans: list[tuple[str, int, int]]) -> str:

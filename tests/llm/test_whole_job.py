@@ -76,3 +76,20 @@ def test_wider_disguises():
         assert found not in pii.mask(t)
     for t in ["met at noon.then left", "one of 5 or two", "look at this.one", "chapter one 2 three", "un un un", "_at_" * 20_000, "a at " * 20_000, "one " * 50_000, "1 one," * 20_000, "x." * 50_000]:
         assert pii.find_spans(t)[1] == [], t[:40]
+
+
+def test_disguises_without_brackets_or_a_plus():
+    for t, kind, found in [
+        ("ask john(a)example.com", "email", "john(a)example.com"), ("ask john @ example . com now", "email", "john @ example . com"), ("ask john at example dot xyz", "email", "john at example dot xyz"), ("ask maria arroba ejemplo punto com", "email", "maria arroba ejemplo punto com"),
+        ("frag hans at beispiel punkt de", "email", "hans at beispiel punkt de"), ("paul arobase exemple point fr", "email", "paul arobase exemple point fr"), ("call five five five, one two three, four five six seven now", "phone", "five five five, one two three, four five six seven"),
+    ]:
+        base, added = pii.find_spans(t)
+        assert [(k, t[s:e]) for k, s, e in added] == [(kind, found)] and not base, t
+    for t in ["one two three four five six seven eight nine", "look at this point in time", "at home . it was", "list (a) first (b) second", "1.2 one two three four five", "one two " * 40_000, " @ " * 50_000, "a @ b . " * 30_000]:
+        assert pii.find_spans(t)[1] == [], t[:40]
+
+
+def test_spans_under_a_wider_one_go():
+    t = "mail a​b@example.com at example dot com " * 3000
+    base, added = pii.find_spans(t)
+    assert len(base) == 3000 and all(not any(x[1] <= y[1] and y[2] <= x[2] and x != y for x in added[max(0, k - 3) : k + 3]) for k, y in enumerate(added))
