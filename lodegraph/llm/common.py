@@ -18,9 +18,12 @@ BROADCAST_ROWS = 200_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, a folder of our own if
+    Spark runs in this one process, else an error, as executors would not share it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -79,6 +82,14 @@ def text_slices(batch: pa.RecordBatch, column: int, chars: int) -> Iterator[pa.R
         yield batch.slice(lo)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that with as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null becomes the empty string."""
     return [x or "" for x in column.to_pylist()]

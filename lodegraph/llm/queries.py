@@ -66,7 +66,7 @@ def op7_huffman_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.judge(_read(spark, sf_dir, "documents"))
+    return suffix.judge(_read(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op9_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,4 +158,20 @@ select conv_id, count(*)::bigint as n_turns,
 from c group by conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_itq_near_duplicates": OP1_SQL, "op3_url_reputation": OP3_SQL, "op4_mix_sources": OP4_SQL, "op6_chat_events": OP6_SQL}
+#: Repeats by windows: what maximal repeats of at least 5 words cover is what repeated 5-word windows
+#: cover, and one of more than 100 words holds a repeated 101-word window.
+OP8_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+grams as (select doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') as gram from d, (values (5), (8), (101)) as sizes(n), unnest(range(1, len(ws) - n + 2)) as places(p)),
+again as (select doc_id, n, p from grams qualify count(*) over (partition by doc_id, n, gram) > 1),
+cover as (select doc_id, n, count(distinct p + k) as words from again, unnest(range(0, n)) as steps(k) where n < 100 group by doc_id, n),
+m as (select doc_id, len(ws)::bigint as n_words, list_sum(list_transform(ws, lambda x: length(x)))::bigint as chars,
+  (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+j as (select m.*, coalesce((select words from cover c where c.doc_id = m.doc_id and c.n = 8), 0)::bigint as n_repeat_words,
+  coalesce((select words from cover c where c.doc_id = m.doc_id and c.n = 5), 0)::bigint as n_covered, exists (select 1 from again a where a.doc_id = m.doc_id and a.n = 101) as long_repeat from m)
+select doc_id, n_words, coalesce(chars, 0)::bigint as word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, n_repeat_words, n_covered,
+  n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_covered <= 0.4 * n_words and not long_repeat as kept from j
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_itq_near_duplicates": OP1_SQL, "op3_url_reputation": OP3_SQL, "op4_mix_sources": OP4_SQL, "op6_chat_events": OP6_SQL, "op8_suffix_repetition": OP8_SQL}
