@@ -37,6 +37,9 @@ def _save(g: Graph, path: str) -> None:
         documents.write_parquet(g, path, "overwrite")
 
 
+_OVERLAY_HELP = "a JSON file: a list of {name, nodes: {id: style}, edges: [{source, target, ...style}]}"
+
+
 def _write(text: str, path: str | None) -> None:
     if not path or path == "-":
         print(text)
@@ -53,7 +56,7 @@ _NODE = ["id", "kind", "name", "file", "line", "col", "end_line", "end_col", "sc
 
 
 def _build(a) -> None:
-    g, errors = build.build(files.scan(_spark(), a.root, a.exclude or config.load()["exclude"], a.language or config.load()["languages"] or None), lambda phase: print(phase, file=sys.stderr))
+    g, errors = build.build(files.scan(_spark(), a.root, a.exclude or config.load()["exclude"], a.language or config.load()["languages"] or None), lambda phase: print(phase, file=sys.stderr), a.timeout)
     for r in errors.toLocalIterator():
         print(f"skipped {r.path}: {r.error}", file=sys.stderr)
     _save(g, a.output)
@@ -123,7 +126,8 @@ def _viz(a) -> None:
     g = _load(a.graph)
     if (n := g.nodes.count()) > 500:
         print(f"{n} nodes; consider --exclude-kind", file=sys.stderr)
-    _write(documents.to_html(g, a.title, a.exclude_kind), a.output)
+    overlays = json.loads(Path(a.overlay).read_text()) if a.overlay else None
+    _write(documents.to_html(g, a.title, a.exclude_kind, overlays=overlays), a.output)
 
 
 def _dot(a) -> None:
@@ -154,8 +158,18 @@ def _config(a) -> None:
 
 
 def _completions(a) -> None:
-    names = " ".join(COMMANDS)
-    print({"bash": f'complete -W "{names}" lodegraph', "zsh": f"#compdef lodegraph\ncompadd {names}", "fish": "\n".join(f"complete -c lodegraph -n __fish_use_subcommand -a {n}" for n in COMMANDS)}[a.shell])
+    commands = next(x for x in parser()._actions if isinstance(x, argparse._SubParsersAction)).choices
+    flags = {n: sorted(o for x in c._actions for o in x.option_strings if o.startswith("--")) for n, c in commands.items()}
+    names = " ".join(flags)
+    cases = "\n".join(f"    {n}) opts='{' '.join(f)}' ;;" for n, f in flags.items())
+    if a.shell == "bash":
+        body = f"_lodegraph() {{\n  local opts='{names}'\n  if [ $COMP_CWORD -gt 1 ]; then\n  case ${{COMP_WORDS[1]}} in\n{cases}\n  esac\n  fi\n  COMPREPLY=($(compgen -f -W \"$opts\" -- \"${{COMP_WORDS[COMP_CWORD]}}\"))\n}}\ncomplete -F _lodegraph lodegraph"
+    elif a.shell == "zsh":
+        body = f"#compdef lodegraph\nlocal opts='{names}'\nif (( CURRENT > 2 )); then\n  case $words[2] in\n{cases}\n  esac\nfi\ncompadd -- ${{=opts}}\n_files"
+    else:
+        lines = [f"complete -c lodegraph -n __fish_use_subcommand -a {n}" for n in flags]
+        body = "\n".join([*lines, *(f"complete -c lodegraph -n '__fish_seen_subcommand_from {n}' -l {o[2:]}" for n, f in flags.items() for o in f)])
+    print(body)
 
 
 COMMANDS = {n: f for n, f in (("build", _build), ("info", _info), ("query", _query), ("edges", _edges), ("diff", _diff), ("annotate", _annotate), ("pattern", _pattern), ("subgraph", _subgraph), ("taint", _taint), ("viz", _viz), ("dot", _dot), ("serve", _serve), ("watch", _watch), ("config", _config), ("completions", _completions))}
@@ -182,6 +196,7 @@ def parser() -> argparse.ArgumentParser:
     c = add("build", "root", graph=False, output=True)
     c.add_argument("--exclude", **many)
     c.add_argument("--language", **many)
+    c.add_argument("--timeout", type=float, help="seconds, looked at after each phase")
     add("info")
     c = add("query", output=True)
     for x in ("--name", "--file", "--scope", "--annotation", "--annotation-value"):
@@ -213,6 +228,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--apply", metavar="GRAPH")
     c = add("viz", output=True)
     c.add_argument("--title", default="Graph")
+    c.add_argument("--overlay", help=_OVERLAY_HELP)
     c.add_argument("--exclude-kind", **many)
     c = add("dot", output=True)
     c.add_argument("--edge-kind", **many)
@@ -239,8 +255,9 @@ def main(argv: list[str] | None = None) -> int:
         COMMANDS[a.command](a)
     except KeyboardInterrupt:
         return 130
-    except (ValueError, OSError) as x:
-        print(json.dumps({"error": type(x).__name__, "message": str(x)}) if a.json_errors else f"error: {x}", file=sys.stderr)
+    except Exception as x:  # noqa: BLE001  Spark's errors too end in a message, not in a stack trace
+        message = str(x).split("\nJVM stacktrace")[0].strip()
+        print(json.dumps({"error": type(x).__name__, "message": message}) if a.json_errors else f"error: {message}", file=sys.stderr)
         return 1
     return 0
 

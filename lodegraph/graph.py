@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schema
+from .plans.fixpoint import write_out
 
 
 def _full(df: DataFrame, spec: str) -> DataFrame:
@@ -40,6 +41,11 @@ class Graph:
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
+    def written(self) -> Graph:
+        """The same graph with its nodes and edges written to tables of the scratch folder, so that what
+        they come from is worked out once."""
+        return replace(self, nodes=write_out(self.nodes, "nodes")[0], edges_raw=write_out(self.edges_raw, "edges")[0])
+
     @property
     def edges(self) -> DataFrame:
         last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.coalesce("seq", F.lit(-1)))).alias(c)

@@ -97,8 +97,11 @@ def resolve_calls(g: Graph, inside: bool = True) -> DataFrame:
     fns = functions_of(g)
     around = None
     if inside:
+        # only a name with a qualifier and several functions asks for the scopes around them
+        asked = calls.where(qualifier(F.col("name")).isNotNull()).select(F.explode(F.array("name", "short")).alias("name")).distinct()
+        several = fns.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name").join(asked, "name", "left_semi")
         names = g.nodes.select(F.col("id").alias("ancestor"), "name")
-        around = scope_ancestors(g.nodes, fns).join(names, "ancestor").select("id", "name")
+        around = scope_ancestors(g.nodes, fns.join(several, "name", "left_semi")).join(names, "ancestor").select("id", "name")
     whole, short = by_name(calls, fns, "name", around), by_name(calls.where("short <> name"), fns, "short", around)
     out = first_tier(by_method(g, calls), whole, short, by_import(g, calls))
     return out.select(F.col("call").alias("src"), F.col("fn").alias("dst"), F.lit("calls").alias("kind"), "tier")

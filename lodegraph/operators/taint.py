@@ -1,19 +1,21 @@
 """Label propagation from sources to sinks along data flow, with sanitizers and fields.
 
-Three fixpoints over tables: what reaches a node from which origin (``reached``), which kinds of label
-reach a node without leaving a sanitizer (``bypassing``), and which sanitizers every way to a node
-leaves (``common_sanitizers``). A label's kind is its name and field; a field narrows on the first edge
-that names one and later edges of other fields stop it. The result does not depend on any order."""
+Labels spread by kind: a state is a label's name and field at a node, whatever the origins, so what is
+closed over grows with label kinds times nodes and not with sources. A field narrows on the first edge
+that names one and later edges of other fields stop it. Each state also says whether some way to it left
+no sanitizer. Origins are found from the states of sinks back, over the states' own edges only; what each
+single origin reaches (``Result.reach``) is closed over when asked for. No result depends on an order."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.fixpoint import fixpoint, write_out
+from ..plans.fixpoint import fixpoint, remove, write_counted, write_out
 from .flow import summaries
 
 
@@ -41,11 +43,13 @@ def seeds(g: Graph, policy: Policy) -> DataFrame:
 def flow_edges(g: Graph, policy: Policy, summary: DataFrame | None = None) -> DataFrame:
     """Rows ``(src, dst, f)``: data flow, and from calls to the variables they define where the callee's
     summary (or, for calls without a callee, the first propagator that matches) lets data through."""
-    e = g.edges.where("kind = 'data_flows_to'").select("src", "dst", F.col("field_name").alias("f"))
+    e = g.edges_of("data_flows_to").select("src", "dst", F.col("field_name").alias("f"))
     defined = g.edges_raw.where("kind = 'defined_by'").select(F.col("dst").alias("call"), F.col("src").alias("dst")).distinct()
     called = g.edges_raw.where("kind = 'calls'").select(F.col("src").alias("call"), F.col("dst").alias("fn")).distinct()
     summary = summaries(g) if summary is None else summary
     through = summary.where("reached_kind = 'return'").select(F.col("function_id").alias("fn")).distinct()
+    if not policy.propagators and through.isEmpty():
+        return e
     crossing = called.join(through, "fn", "left_semi").select("call").distinct()
     if policy.propagators:
         carries = F.lit(False)
@@ -81,61 +85,115 @@ def reached(edges: DataFrame, seed: DataFrame) -> DataFrame:
     return fixpoint(hop(start), hop, ["origin", "label", "field", "node"])
 
 
-def bypassing(edges: DataFrame, seed: DataFrame, sanitizers: DataFrame) -> DataFrame:
-    """Rows ``(label, field, node)`` reached over at least one edge without leaving a sanitizer."""
-    cut = edges.join(sanitizers.select(F.col("id").alias("src")), "src", "left_anti")
+#: Stands for no field in join keys.
+NO_FIELD = "\x00"
+
+
+def kinds_reached(edges: DataFrame, seed: DataFrame) -> DataFrame:
+    """Rows ``(label, f0, node, clean)`` reached over at least one edge; ``f0`` is the field, ``clean``
+    that the way there left no sanitizer. A state that both kinds of way reach has a row of each.
+
+    ``edges``: ``(src, dst, f, cut)``, ``cut`` for those that leave a sanitizer."""
 
     def hop(d: DataFrame) -> DataFrame:
-        ok, after = _narrow("field", "f")
-        return d.join(cut, d.node == cut.src).where(ok).select("label", after.alias("field"), F.col("dst").alias("node"))
+        on = d.join(edges, d.node == edges.src).where((F.col("f") == F.col("f0")) | F.col("f").isNull() | (F.col("f0") == NO_FIELD))
+        return on.select("label", F.when(F.col("f0") == NO_FIELD, F.coalesce("f", "f0")).otherwise(F.col("f0")).alias("f0"), F.col("dst").alias("node"), (F.col("clean") & ~F.col("cut")).alias("clean"))
 
-    start = seed.select("label", F.lit(None).cast("string").alias("field"), F.col("origin").alias("node")).distinct()
+    start = seed.select("label", F.lit(NO_FIELD).alias("f0"), F.col("origin").alias("node"), F.lit(True).alias("clean")).distinct()
     return fixpoint(hop(start), hop)
 
 
-def common_sanitizers(edges: DataFrame, seed: DataFrame, sanitizers: DataFrame, states: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """Rows ``(label, field, node, sanitizer)``: sanitizers that every way to the state leaves.
-
-    The greatest fixpoint of intersections, from above: a state that has not been met counts as all
-    sanitizers. A sanitizer is common if as many of a state's ways in carry it as there are such ways;
-    those are counts, so states with many ways in are summed in parts."""
-    key = F.sha2(F.concat_ws("\x01", F.col("label"), F.coalesce("field", F.lit("\x02")), F.col("node")), 256)
-    kinds = states.select("label", "field", "node").distinct()
-    starts = seed.select("label", F.lit(None).cast("string").alias("field"), F.col("origin").alias("node")).distinct()
-    every = kinds.unionByName(starts).distinct().withColumn("key", key)
-    ok, after = _narrow("field", "f")
-    ways = every.join(edges, every.node == edges.src).where(ok).select(F.col("key").alias("k_from"), F.col("node").alias("left"), "label", after.alias("field"), F.col("dst").alias("node")).withColumn("k_to", key)
-    clean = starts.withColumn("key", key).select(F.col("key").alias("k_to"))
-    ways = ways.join(clean, "k_to", "left_anti").join(sanitizers.select(F.col("id").alias("left"), F.lit(True).alias("san")), "left", "left").select("k_from", "k_to", "left", "san").distinct()
+def state_edges(edges: DataFrame, seed: DataFrame, states: DataFrame) -> DataFrame:
+    """Rows ``(label, f0, node, to_f0, to, cut)``: the edges between states, those of the sources included."""
+    all_states = states.select("label", "f0", "node").unionByName(seed.select("label", F.lit(NO_FIELD).alias("f0"), F.col("origin").alias("node"))).distinct()
+    on = all_states.join(edges, all_states.node == edges.src).where((F.col("f") == F.col("f0")) | F.col("f").isNull() | (F.col("f0") == NO_FIELD))
+    return on.select("label", "f0", "node", F.when(F.col("f0") == NO_FIELD, F.coalesce("f", "f0")).otherwise(F.col("f0")).alias("to_f0"), F.col("dst").alias("to"), "cut").distinct()
+
+
+def backward(steps: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows ``(sink, label, s0, node, f0, depth, next, next_f0)``: the states from which a sink's state
+    ``(sink, label, s0)`` of ``ends`` is reached, the fewest hops, and the least state one hop nearer."""
+
+    def hop(d: DataFrame) -> DataFrame:
+        back = steps.select("label", F.col("f0").alias("from_f0"), F.col("node").alias("from"), F.col("to_f0").alias("f0"), F.col("to").alias("node"))
+        on = d.join(back, ["label", "f0", "node"])
+        best = on.groupBy("sink", "label", "s0", F.col("from").alias("_node"), F.col("from_f0").alias("_f0")).agg(F.min("depth").alias("_depth"), F.min(F.struct(F.col("node").alias("next"), F.col("f0").alias("next_f0"))).alias("n"))
+        return best.select("sink", "label", "s0", F.col("_node").alias("node"), F.col("_f0").alias("f0"), (F.col("_depth") + 1).alias("depth"), "n.next", "n.next_f0")
+
+    start = ends.select("sink", "label", "s0", F.col("sink").alias("node"), F.col("s0").alias("f0"), F.lit(0).alias("depth"))
+    return fixpoint(hop(start), hop, ["sink", "label", "s0", "node", "f0"])
+
+
+def common_sanitizers(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows ``(label, f0, node, sanitizer)``: sanitizers that every way from a start to the state leaves.
+
+    ``steps``: edges between states with all that lead to the states in question; ``starts``: ``(label,
+    f0, node)``, which hold none. The greatest fixpoint of intersections, from above: a state that has
+    not been met counts as all sanitizers. A sanitizer is common if as many of a state's ways in carry
+    it as there are such ways; those are counts, so states with many ways in are summed in parts."""
+    key = lambda *c: F.sha2(F.concat_ws("\x01", *c), 256)
+    clean = starts.select(key("label", "f0", "node").alias("k_to")).distinct()
+    ways = steps.select(key("label", "f0", "node").alias("k_from"), key("label", "to_f0", "to").alias("k_to"), F.col("node").alias("left"), "cut").distinct().join(clean, "k_to", "left_anti")
     ways, _ = write_out(ways, "ways")
-    met, _ = write_out(clean.withColumnRenamed("k_to", "k").distinct(), "met")
-    held, _ = write_out(met.select("k", F.lit("").alias("s")).limit(0), "held")
+    names = steps.select("label", F.col("to_f0").alias("f0"), F.col("to").alias("node"), key("label", "to_f0", "to").alias("k")).distinct()
+    met, met_path = write_out(clean.withColumnRenamed("k_to", "k"), "met")
+    held, held_path = write_out(met.select("k", F.lit("").alias("s")).limit(0), "held")
     seen = None
-    for _ in range(max_rounds):
+    while True:  # ends: what is met only grows, and once it is full what is held only shrinks
         live = ways.join(met, ways.k_from == met.k, "left_semi")
         n = live.groupBy("k_to").agg(F.count("*").alias("n"))
-        carried = live.join(held, live.k_from == held.k).select("k_from", "k_to", "left", "s").unionByName(live.where("san").select("k_from", "k_to", "left", F.col("left").alias("s"))).distinct()
+        carried = live.join(held, live.k_from == held.k).select("k_from", "k_to", "left", "s").unionByName(live.where("cut").select("k_from", "k_to", "left", F.col("left").alias("s"))).distinct()
         kept = carried.groupBy("k_to", "s").agg(F.count("*").alias("m")).join(n, "k_to").where("m = n").select(F.col("k_to").alias("k"), "s")
-        held, _ = write_out(kept, "held")
-        met, _ = write_out(n.select(F.col("k_to").alias("k")).unionByName(clean.select(F.col("k_to").alias("k"))).distinct(), "met")
-        state = (met.count(), *held.agg(F.count("*"), F.sum(F.xxhash64("k", "s").cast("decimal(38,0)"))).first())
+        after, after_path = write_out(kept, "held")
+        met, path, n_met = write_counted(n.select(F.col("k_to").alias("k")).unionByName(clean.select(F.col("k_to").alias("k"))).distinct(), "met")
+        remove(met.sparkSession, held_path, met_path)
+        held, held_path, met_path = after, after_path, path
+        state = (n_met, *held.agg(F.count("*"), F.sum(F.xxhash64("k", "s").cast("decimal(38,0)"))).first())
         if state == seen:
-            break
+            return names.join(held, "k").select("label", "f0", "node", F.col("s").alias("sanitizer"))
         seen = state
-    return every.join(held, every.key == held.k).select("label", "field", "node", F.col("s").alias("sanitizer"))
 
 
 @dataclass(frozen=True)
 class Result:
-    """``labels_at`` (node, label, field, origin), ``edge_labels`` (src, dst, label, field, origin),
-    ``hits`` (origin, label, field, sink, depth, bypass) and the tables they came from."""
+    """Tables that are worked out when first asked for: ``hits`` (origin, label, field, sink, depth, bypass),
+    ``states`` (label, f0, node, clean); by origin ``labels_at`` (node, label, field, origin) and
+    ``edge_labels`` (src, dst, label, field, origin)."""
 
     graph: Graph
+    policy: Policy
     seed: DataFrame
     edges: DataFrame
-    reach: DataFrame
-    hits: DataFrame
-    sanitizers: DataFrame
+
+    @cached_property
+    def states(self) -> DataFrame:
+        return kinds_reached(self.edges, self.seed)
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        return write_out(state_edges(self.edges, self.seed, self.states), "steps")[0]
+
+    @cached_property
+    def ends(self) -> DataFrame:
+        """Sinks' states ``(sink, label, s0, bypass)``."""
+        sinks = self.graph.nodes.where(self.policy.sink).select(F.col("id").alias("node"))
+        at = self.states.join(sinks, "node", "left_semi").groupBy(F.col("node").alias("sink"), "label", F.col("f0").alias("s0"))
+        return write_out(at.agg(F.bool_or("clean").alias("bypass")), "ends")[0]
+
+    @cached_property
+    def back(self) -> DataFrame:
+        return backward(self.steps, self.ends)
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        at = self.back.where(F.col("f0") == NO_FIELD).join(self.seed.withColumnRenamed("origin", "node").distinct(), ["node", "label"])
+        hits = at.select(F.col("node").alias("origin"), "label", "s0", "sink", "depth").join(self.ends, ["sink", "label", "s0"])
+        return write_out(hits.select("origin", "label", F.when(F.col("s0") != NO_FIELD, F.col("s0")).alias("field"), "sink", "depth", "bypass"), "hits")[0]
+
+    @cached_property
+    def reach(self) -> DataFrame:
+        """What each origin reaches: ``(origin, label, field, node, depth, parent, parent_field)``."""
+        return reached(self.edges, self.seed)
 
     @property
     def labels_at(self) -> DataFrame:
@@ -156,31 +214,35 @@ class Result:
         return out.select("origin", "sink", F.col("b.label").alias("label"), F.col("b.field").alias("field"), F.col("b.depth").alias("depth"), "is_sanitized")
 
     def path_nodes(self) -> DataFrame:
-        """Rows ``(origin, sink, path)``: one shortest path each, by parents from the sink back."""
-        tree, _ = write_out(self.reach.select("origin", "label", "field", "node", "parent", "parent_field", "depth"), "tree")
-        t = tree.select(*(F.col(c).alias(f"t_{c}") for c in tree.columns))
-        now = self.paths.select("origin", "sink", "label", F.col("field").alias("at_field"), F.col("sink").alias("at"), F.col("depth").alias("left"), F.array("sink").alias("path"))
+        """Rows ``(origin, sink, path)``: one shortest path each, the one of the least states from the origin on."""
+        now = self.paths.select("origin", "sink", "label", F.coalesce("field", F.lit(NO_FIELD)).alias("s0"), F.col("origin").alias("node"), F.lit(NO_FIELD).alias("f0"), F.col("depth").alias("left"), F.array("origin").alias("path"))
         done = None
         while True:
-            now, _ = write_out(now, "walk")
+            now, _, _ = write_counted(now, "walk")
             here = now.where("left = 0").select("origin", "sink", "path")
             done = here if done is None else done.unionByName(here)
             now = now.where("left > 0")
             if now.isEmpty():
                 return done
-            same = (F.col("origin") == F.col("t_origin")) & (F.col("label") == F.col("t_label")) & F.col("at_field").eqNullSafe(F.col("t_field")) & (F.col("at") == F.col("t_node"))
-            now = now.join(t, same).select("origin", "sink", "label", F.col("t_parent_field").alias("at_field"), F.col("t_parent").alias("at"), (F.col("t_depth") - 1).alias("left"), F.concat(F.array("t_parent"), "path").alias("path"))
+            now = now.join(self.back, ["sink", "label", "s0", "node", "f0"])
+            now = now.select("origin", "sink", "label", "s0", F.col("next").alias("node"), F.col("next_f0").alias("f0"), (F.col("left") - 1).alias("left"), F.concat("path", F.array("next")).alias("path"))
 
     def common(self) -> DataFrame:
-        """Rows ``(sink, label, field, sanitizer)`` for sanitized hits."""
-        c = common_sanitizers(self.edges, self.seed, self.sanitizers, self.reach.select("label", "field", "node"))
-        h = self.hits.where("not bypass").select(F.col("sink").alias("node"), "label", "field").distinct().withColumn("f0", F.coalesce("field", F.lit(""))).drop("field")
-        return c.withColumn("f0", F.coalesce("field", F.lit(""))).join(h, ["node", "label", "f0"], "left_semi").select(F.col("node").alias("sink"), "label", "field", "sanitizer")
+        """Rows ``(sink, label, field, sanitizer)`` for sanitized hits; only ways to those are looked at."""
+        h = self.hits.where("not bypass").select("sink", "label", F.coalesce("field", F.lit(NO_FIELD)).alias("s0")).distinct()
+        inside = self.back.join(h, ["sink", "label", "s0"], "left_semi").select("label", "f0", "node").distinct()
+        ways = self.steps.join(inside, ["label", "f0", "node"], "left_semi")
+        starts = self.seed.select("label", F.lit(NO_FIELD).alias("f0"), F.col("origin").alias("node"))
+        goals = inside.select("label", F.col("f0").alias("to_f0"), F.col("node").alias("to")).unionByName(h.select("label", F.col("s0").alias("to_f0"), F.col("sink").alias("to"))).distinct()
+        c = common_sanitizers(ways.join(goals, ["label", "to_f0", "to"], "left_semi"), starts)
+        found = c.join(h, (c.node == h.sink) & (c.label == h.label) & (c.f0 == h.s0), "left_semi")
+        return found.select(F.col("node").alias("sink"), "label", F.when(F.col("f0") != NO_FIELD, F.col("f0")).alias("field"), "sanitizer")
 
     def annotations(self) -> DataFrame:
         """Annotation rows ``(id, key, value)``: tainted, taint_labels, taint_role, taint_sanitized."""
-        names = self.labels_at.groupBy(F.col("node").alias("id")).agg(F.to_json(F.array_sort(F.collect_set("label"))).alias("value"))
-        p = self.paths
+        labelled = self.states.select(F.col("node").alias("id"), "label").unionByName(self.seed.select(F.col("origin").alias("id"), "label"))
+        names, _ = write_out(labelled.groupBy("id").agg(F.to_json(F.array_sort(F.collect_set("label"))).alias("value")), "names")
+        p, _ = write_out(self.paths, "paths")
         roles = p.select(F.col("origin").alias("id"), F.lit(1).alias("r")).unionByName(p.select(F.col("sink").alias("id"), F.lit(2).alias("r"))).unionByName(self.common().select(F.col("sanitizer").alias("id"), F.lit(3).alias("r")))
         roles = names.select("id", F.lit(0).alias("r")).unionByName(roles).groupBy("id").agg(F.max("r").alias("r"))
         role = F.element_at(F.array(*map(F.lit, ("intermediate", "source", "sink", "sanitizer"))), F.col("r") + 1)
@@ -200,14 +262,8 @@ class Result:
 
 
 def run(g: Graph, policy: Policy, summary: DataFrame | None = None) -> Result:
-    edges, _ = write_out(flow_edges(g, policy, summary), "flow")
+    sanitizers = g.nodes.where(policy.sanitizer).select(F.col("id").alias("src"), F.lit(True).alias("cut"))
+    flow = flow_edges(g, policy, summary).join(sanitizers.distinct(), "src", "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
+    edges, _ = write_out(flow.select("src", "dst", "f", "cut"), "flow")
     seed, _ = write_out(seeds(g, policy), "seeds")
-    sanitizers = g.nodes.where(policy.sanitizer).select("id")
-    reach = reached(edges, seed)
-    sinks = g.nodes.where(policy.sink).select(F.col("id").alias("node"))
-    at_sink = reach.join(sinks, "node", "left_semi")
-    free = bypassing(edges, seed, sanitizers).join(sinks, "node", "left_semi").select("label", F.coalesce("field", F.lit("")).alias("f0"), "node", F.lit(True).alias("bypass"))
-    hits = at_sink.withColumn("f0", F.coalesce("field", F.lit(""))).join(free, ["label", "f0", "node"], "left")
-    hits = hits.select("origin", "label", "field", F.col("node").alias("sink"), "depth", F.coalesce("bypass", F.lit(False)).alias("bypass"))
-    hits, _ = write_out(hits, "hits")
-    return Result(g, seed, edges, reach, hits, sanitizers)
+    return Result(g, policy, seed, edges)

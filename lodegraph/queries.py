@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .functions import ranges
 from .graph import Graph
 from .operators import calls, change, filters, flow, pattern, taint, traverse
-from .plans import project
+from .plans import project, snippets
 from .plans.project import COMMERCE, CONTROL, EVENTS, NAMES, with_sql
+from .sinks import documents
+from .sources import build, files, graphs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,12 +33,6 @@ def _ids(g: Graph, *ids: str) -> DataFrame:
     return g.spark.createDataFrame([(i,) for i in ids], "id string")
 
 
-def _first(g: Graph, kind: str) -> DataFrame:
-    """The first emitted node of a kind in each file: as many as there are files."""
-    n = g.nodes.where(F.col("kind") == kind)
-    return n.groupBy("file").agg(F.min_by("id", F.struct("seq", "id")).alias("id")).select("id")
-
-
 # -- counts ---------------------------------------------------------------------------------------
 
 
@@ -82,7 +78,7 @@ def node_offset_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(with_sql(COMMERCE, ("inside(id)", "select c.id from commerce_nodes c join commerce_nodes p on c.scope = p.id where p.name = 'EUROPE' union select c.id from commerce_nodes c join inside i on c.scope = i.id"), select="select id, kind from commerce_nodes where kind = 'call' and id in (select id from inside)"))
 def scope_chain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.query_nodes(project.commerce(spark, sf_dir), ["call"], scope="EUROPE").select("id", "kind")
+    return filters.query_nodes(project.commerce(spark, sf_dir).written(), ["call"], scope="EUROPE").select("id", "kind")
 
 
 @_query(with_sql(COMMERCE, select="select e.src, e.dst, e.kind, a.name as source_name, b.name as target_name from (select distinct src, dst, kind from commerce_edges) e join commerce_nodes a on e.src = a.id join commerce_nodes b on e.dst = b.id where e.kind in ('flows_to', 'contains') and regexp_matches(a.name, 'URGENT') and regexp_matches(b.name, '^[12]-')"))
@@ -150,24 +146,32 @@ def cfg_loop_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- traversal --------------------------------------------------------------------------------------
 
-_FIRST = "(select min_by(id, seq) from event_nodes where kind = '{kind}' group by file)"
 _DFG = ("dfg", "select distinct src, dst from event_edges where kind = 'data_flows_to'")
 
 
-def _closure(kind: str, a: str, b: str) -> str:
-    return f"select n.id as origin, e.{b} as id from (select unnest(list(x)) as id from {_FIRST.format(kind=kind).replace('select min_by(id, seq)', 'select min_by(id, seq) as x')}) n join dfg e on n.id = e.{a} union select r.origin, e.{b} from r join dfg e on r.id = e.{a}"
+def _closure(what: str, a: str, b: str) -> str:
+    return f"select n.id as origin, e.{b} as id from event_nodes n join dfg e on n.id = e.{a} where {what} union select r.origin, e.{b} from r join dfg e on r.id = e.{a}"
 
 
-@_query(with_sql(EVENTS, _DFG, ("r(origin, id)", _closure("parameter", "src", "dst")), select="select r.origin, n.id, n.kind from r join event_nodes n on r.id = n.id"))
+@_query(with_sql(EVENTS, _DFG, ("r(origin, id)", _closure("n.kind = 'parameter'", "src", "dst")), select="select r.origin, n.id, n.kind from r join event_nodes n on r.id = n.id"))
 def reach_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = project.events(spark, sf_dir)
-    return traverse.reachable(g, _first(g, "parameter"), ["data_flows_to"]).select("origin", "id", "kind")
+    """What every parameter reaches."""
+    g = project.events(spark, sf_dir).written()
+    return traverse.reachable(g, g.nodes_of("parameter"), ["data_flows_to"]).select("origin", "id", "kind")
 
 
-@_query(with_sql(EVENTS, _DFG, ("r(origin, id)", _closure("call", "dst", "src")), select="select r.origin, n.id, n.kind from r join event_nodes n on r.id = n.id"))
+@_query(with_sql(EVENTS, _DFG, ("r(origin, id)", _closure("n.name = 'sink'", "dst", "src")), select="select r.origin, n.id, n.kind from r join event_nodes n on r.id = n.id"))
 def reach_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = project.events(spark, sf_dir)
-    return traverse.reachable(g, _first(g, "call"), ["data_flows_to"], reverse=True).select("origin", "id", "kind")
+    """What reaches every sink."""
+    g = project.events(spark, sf_dir).written()
+    return traverse.reachable(g, g.nodes.where("name = 'sink'"), ["data_flows_to"], reverse=True).select("origin", "id", "kind")
+
+
+@_query(with_sql(COMMERCE, ("r(origin, id)", "select scope, id from commerce_nodes where scope in (select id from commerce_nodes where kind = 'class') union select r.origin, n.id from r join commerce_nodes n on n.scope = r.id"), select="select r.origin, n.id, n.kind from r join commerce_nodes n on r.id = n.id"))
+def scope_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that stands under each class."""
+    g = project.commerce(spark, sf_dir).written()
+    return traverse.reachable(g, g.nodes_of("class"), ["contains", "has_parameter"]).select("origin", "id", "kind")
 
 
 _SUB = ("sub(id, depth)", "select 'n:7', 0 union select e.dst, s.depth + 1 from sub s join commerce_edges e on s.id = e.src where s.depth < 3")
@@ -222,13 +226,13 @@ def paths_to_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(with_sql(EVENTS, _DFG, select="select concat(a.id, '->', b.id, '->', c.id) as chain from event_nodes a join dfg x on a.id = x.src join event_nodes b on b.id = x.dst join dfg y on b.id = y.src join event_nodes c on c.id = y.dst where a.kind = 'parameter' and b.kind = 'variable' and regexp_matches(b.name, '^vi') and c.kind = 'call'"))
 def pattern_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = [pattern.Step("parameter"), pattern.Step("variable", name="^vi"), pattern.Step("call")]
-    return pattern.match_chain(project.events(spark, sf_dir), pattern.Chain(steps, "data_flows_to")).select(F.array_join("chain", "->").alias("chain"))
+    return pattern.match_chain(project.events(spark, sf_dir).written(), pattern.Chain(steps, "data_flows_to")).select(F.array_join("chain", "->").alias("chain"))
 
 
 @_query(with_sql(EVENTS, _DFG, ("w(origin, id)", "select n.id, e.dst from event_nodes n join dfg e on n.id = e.src where n.kind = 'parameter' union select w.origin, e.dst from w join dfg e on w.id = e.src"), select="select concat(w.origin, '->', w.id) as chain from w join event_nodes n on w.id = n.id where n.name = 'sink' and w.origin <> w.id"))
 def pattern_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = [pattern.Step("parameter"), pattern.Step(wildcard=True), pattern.Step("call", name="^sink$")]
-    return pattern.match_chain(project.events(spark, sf_dir), pattern.Chain(steps, "data_flows_to")).select(F.array_join("chain", "->").alias("chain"))
+    return pattern.match_chain(project.events(spark, sf_dir).written(), pattern.Chain(steps, "data_flows_to")).select(F.array_join("chain", "->").alias("chain"))
 
 
 # -- call resolution --------------------------------------------------------------------------------
@@ -266,7 +270,7 @@ def call_resolution_qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_resolved("case when contains(c.name, '.') then split_part(c.name, '.', -1) else c.name end", "true"))
 def call_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calls.resolve_calls(project.names(spark, sf_dir)).select(F.col("src").alias("call"), F.col("dst").alias("fn"))
+    return calls.resolve_calls(project.names(spark, sf_dir).written()).select(F.col("src").alias("call"), F.col("dst").alias("fn"))
 
 
 # Nations as classes that inherit from the next two by key; each class of a key divisible by 4 has a method.
@@ -388,7 +392,7 @@ _HITS = ("hits", "select r.origin, r.node as sink, r.label, r.field, exists (sel
 
 
 def _taint(spark: SparkSession, sf_dir: str, policy: taint.Policy | None = None) -> taint.Result:
-    g = project.events(spark, sf_dir)
+    g = project.events(spark, sf_dir).written()
     none = spark.createDataFrame([], "function_id string, position int, reached_id string, reached_kind string")
     return taint.run(g, policy or _policy(), none)
 
@@ -463,9 +467,25 @@ def taint_apply_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("id", F.replace("value", F.lit('"'), F.lit("")).alias("role"))
 
 
-@_query()
+_WALK = (
+    "walk(origin, label, field, node, path, depth)",
+    """select s.origin, s.label, d.f, d.dst, [{'n': d.dst, 'f': coalesce(d.f, '')}], 1 from seed s join d on s.origin = d.src
+union all select w.origin, w.label, coalesce(w.field, d.f), d.dst, list_append(w.path, {'n': d.dst, 'f': coalesce(w.field, d.f, '')}), w.depth + 1 from walk w join d on w.node = d.src and (d.f is null or w.field is null or w.field = d.f)""",
+)
+
+
+@_query(
+    with_sql(
+        EVENTS,
+        _FLOW,
+        _SEED,
+        _WALK,
+        ("best", "select origin, node as sink, min({'d': depth, 'l': label, 'f': coalesce(field, '')}) as b from walk where node in (select id from event_nodes where name = 'sink') group by origin, node"),
+        select="select b.origin, b.sink, concat(b.origin, '->', array_to_string(list_transform(min(w.path), lambda x: x.n), '->')) as path from best b join walk w on w.origin = b.origin and w.node = b.sink and w.depth = b.b.d and w.label = b.b.l and coalesce(w.field, '') = b.b.f group by b.origin, b.sink",
+    )
+)
 def taint_path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One shortest path per (origin, sink); which of several is by parents' ids, so SQL only checks counts (see tests)."""
+    """One shortest path per (origin, sink): that of the least states."""
     return _taint(spark, sf_dir).path_nodes().select("origin", "sink", F.array_join("path", "->").alias("path"))
 
 
@@ -506,6 +526,26 @@ def annotate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.node_annotations.select("id", "key", "value")
 
 
+@_query(with_sql(COMMERCE, select="""select 'nodes' as part, count(*)::bigint as n from commerce_nodes where id not in (select id from commerce_nodes where kind = 'class' and name < 'G')
+union all select 'edges', count(*)::bigint from (select distinct src, dst, kind from commerce_edges) where src not in (select id from commerce_nodes where kind = 'class' and name < 'G') and dst not in (select id from commerce_nodes where kind = 'class' and name < 'G') and not (kind = 'contains' and src like 'r:%')"""))
+def removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some nodes removed with their edges, and one kind of edge between other pairs."""
+    g = project.commerce(spark, sf_dir)
+    g = g.remove_nodes(g.nodes.where("kind = 'class' and name < 'G'"))
+    g = g.remove_edges(g.edges_raw.where("src like 'r:%'"), "contains")
+    part = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return part("nodes", g.nodes).unionByName(part("edges", g.edges))
+
+
+@_query(with_sql(COMMERCE, select="""select id, kind, case when kind = 'class' then 'renamed' else name end as name from commerce_nodes union all select concat('new:', r_regionkey::varchar), 'literal', r_name from region"""))
+def additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes added, among them some that replace nodes of the same id."""
+    g = project.commerce(spark, sf_dir)
+    new = spark.table("region").select(F.concat(F.lit("new:"), F.col("r_regionkey").cast("string")).alias("id"), F.lit("literal").alias("kind"), F.col("r_name").alias("name"))
+    g = g.add_nodes(g.nodes_of("class").withColumn("name", F.lit("renamed"))).add_nodes(new)
+    return g.nodes.select("id", "kind", "name")
+
+
 _SPANS = ("spans", "select id, file, line as lo, line + cast(seq % 7 as int) as hi from event_nodes where name = 'sink'")
 
 
@@ -518,8 +558,6 @@ def location_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(with_sql(COMMERCE, ("e", "select distinct src, dst from commerce_edges where kind = 'has_parameter'"), select="""select concat('  "', id, '" [label="', kind, ': ', name, '\\nL', line::varchar, '", shape=', case kind when 'class' then 'component' else 'ellipse' end, '];') as line from commerce_nodes where id in (select src from e union select dst from e)
 union all select concat('  "', src, '" -> "', dst, '" [label="has_parameter", style=dashed];') from e"""))
 def dot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sinks import documents
-
     return documents.dot_lines(project.commerce(spark, sf_dir), ["has_parameter"]).where("part in (1, 2)").select("line")
 
 
@@ -529,20 +567,39 @@ def page_import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.query_nodes(g, ["import"], name="^/[A-Z]").groupBy("name").agg(F.count("*").alias("n"))
 
 
-@_query(with_sql(COMMERCE, select="select id, kind, name, file, line::int as line, scope from commerce_nodes where kind <> 'call'"))
+@_query(with_sql(COMMERCE, select="select id, kind, name, file, line::int as line, scope from commerce_nodes"))
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sinks import documents
-    from .sources import graphs
-
-    g = project.commerce(spark, sf_dir)
-    records = documents.node_records(g.nodes.where("kind <> 'call'"))
+    """All nodes as JSON and back."""
+    records = documents.node_records(project.commerce(spark, sf_dir).nodes)
     return graphs.nodes_from_records(records.select(F.col("json").alias("value"))).select(*_SHOW)
 
 
 @_query("with f as (select concat('p', page_id::varchar, '.html') as path, sha256(html) as before, sha256(case when page_id % 3 = 0 then html || ' ' else html end) as after from pages where page_id % 5 <> 0) select path, case when page_id % 5 = 0 then 'added' else 'changed' end as change from (select page_id, concat('p', page_id::varchar, '.html') as path from pages) p where page_id % 5 = 0 or path in (select path from f where before <> after)")
 def content_hash_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sources import files
-
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), "html")
     now = p.select("path", F.when((F.col("page_id") % 3 == 0) & (F.col("page_id") % 5 != 0), F.concat("html", F.lit(" "))).otherwise(F.col("html")).cast("binary").alias("content"))
     return files.changes(files.hashes(p.where("page_id % 5 <> 0").select("path", F.col("html").cast("binary").alias("content"))), files.hashes(now))
+
+
+# -- front-ends -------------------------------------------------------------------------------------
+
+
+def _programs(spark: SparkSession) -> Graph:
+    nodes, edges, _ = build.parse_files(files.inline(spark, snippets.SOURCES))
+    return Graph.of(nodes, edges)
+
+
+@_query(f"select * from (values {snippets.values(snippets.NODES)}) as t(file, kind, name, line, scope_name)")
+def front_end_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each front-end emits for a small program: imports, classes, functions, parameters, branches, loops, calls, variables, returns."""
+    g = _programs(spark)
+    scopes = g.nodes.select(F.col("id").alias("scope"), F.col("name").alias("scope_name"))
+    return g.nodes.join(scopes, "scope").select("file", "kind", "name", "line", "scope_name")
+
+
+@_query(f"select * from (values {snippets.values(snippets.FLOWS)}) as t(file, source, target)")
+def front_end_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data flow that each front-end emits for a small program."""
+    g = _programs(spark)
+    end = lambda c, name: g.nodes.select(F.col("id").alias(c), F.col("name").alias(name), F.col("file"))
+    return g.edges_of("data_flows_to").join(end("src", "source"), "src").join(end("dst", "target").drop("file"), "dst").select("file", "source", "target").distinct()

@@ -43,9 +43,16 @@ def edge_records(edges: DataFrame) -> DataFrame:
     return edges.select("seq", "src", "dst", "kind", F.concat(raw.substr(F.lit(1), F.length(raw) - 1), F.lit(', "attrs": '), attrs, F.lit("}")).alias("json"))
 
 
+#: Nodes, and edges, that one JSON document may hold.
+DOCUMENT_ROWS = 1_000_000
+
+
 def to_json(g: Graph) -> str:
-    """The single-document form, on the driver: for graphs that a person looks at. Large graphs go to
-    ``write_json_lines`` or Parquet."""
+    """The single-document form, on the driver: for graphs that a person looks at. A graph of more than
+    ``DOCUMENT_ROWS`` nodes or edges is an error; those go to ``write_json_lines`` or Parquet."""
+    for name, df in (("nodes", g.nodes), ("edges", g.edges_raw)):
+        if df.limit(DOCUMENT_ROWS + 1).count() > DOCUMENT_ROWS:
+            raise ValueError(f"more than {DOCUMENT_ROWS} {name}: write Parquet or JSON lines instead of one document")
     lines = lambda df, *by: [json.loads(r.json) for r in df.orderBy(*by).select("json").toLocalIterator()]
     notes: dict = {}
     for r in g.node_annotations.orderBy("id", "key").toLocalIterator():
@@ -105,26 +112,39 @@ def html_elements(g: Graph, exclude_kinds: list[str] | None = None) -> tuple[Dat
 
 _PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>%(title)s</title><style>
 body{font:14px sans-serif;margin:0;display:flex}aside{width:240px;padding:12px;background:#f4f4f4;height:100vh;overflow:auto}svg{flex:1;height:100vh}
-line{stroke:#999}circle{stroke:#333}text{font-size:10px}</style></head><body><aside><h1>%(title)s</h1><div id="stats">%(stats)s</div><div id="layers"></div></aside><svg id="g"></svg><script>
+line{stroke:#999}.n{stroke:#333}text{font-size:10px}</style></head><body><aside><h1>%(title)s</h1><div id="stats">%(stats)s</div><div id="layers"></div><div id="overlays"></div></aside><svg id="g"></svg><script>
 const nodes=%(nodes)s,edges=%(edges)s,layers=%(layers)s,styles=%(styles)s;
 const svg=document.getElementById("g"),at={},ns="http://www.w3.org/2000/svg",side=Math.ceil(Math.sqrt(nodes.length));
 const add=(t,a,x)=>{const e=document.createElementNS(ns,t);for(const k in a)e.setAttribute(k,a[k]);if(x)e.textContent=x;svg.appendChild(e);return e};
 nodes.forEach((n,i)=>at[n.data.id]=[40+(i%%side)*90,40+Math.floor(i/side)*60]);
-edges.forEach(e=>{const p=at[e.data.source],q=at[e.data.target];add("line",{x1:p[0],y1:p[1],x2:q[0],y2:q[1],"data-kind":e.data.kind})});
-nodes.forEach(n=>{const p=at[n.data.id],s=styles[n.data.id]||{};add("circle",{cx:p[0],cy:p[1],r:s.size||6,fill:s.color||"#8ac","data-kind":n.data.kind});add("text",{x:p[0]+8,y:p[1]+4},n.data.label)});
+const overlays=%(overlays)s,on=new Set(overlays.filter(o=>o.visible!==false).map(o=>o.name)),own={};
+overlays.forEach(o=>{own[o.name]={};(o.edges||[]).forEach(e=>own[o.name][e.source+"\\0"+e.target]=e)});
+const styleOf=(id,edge)=>Object.assign({},edge?{}:styles[id],...overlays.filter(o=>on.has(o.name)).map(o=>(edge?own[o.name]:o.nodes||{})[id]||{}));
+const dash={dashed:"6,4",dotted:"2,3"},corners={square:4,diamond:4,triangle:3,hexagon:6,octagon:8},turn={square:Math.PI/4,triangle:-Math.PI/2};
+const draw=()=>{svg.innerHTML="";
+edges.forEach(e=>{const p=at[e.data.source],q=at[e.data.target],s=styleOf(e.data.source+"\\0"+e.data.target,1);add("line",{x1:p[0],y1:p[1],x2:q[0],y2:q[1],style:"stroke:"+(s.color||"#999")+";stroke-width:"+(s.width||1),"stroke-dasharray":dash[s.style]||"",opacity:s.opacity??1,"data-kind":e.data.kind});if(s.label)add("text",{x:(p[0]+q[0])/2,y:(p[1]+q[1])/2},s.label)});
+nodes.forEach(n=>{const p=at[n.data.id],s=styleOf(n.data.id),r=s.size||6,k=corners[s.shape],a={class:"n",fill:s.color||"#8ac",opacity:s.opacity??1,"data-kind":n.data.kind};
+if(k)add("polygon",{...a,points:[...Array(k).keys()].map(i=>{const w=(turn[s.shape]||0)+i*2*Math.PI/k;return (p[0]+r*Math.cos(w))+","+(p[1]+r*Math.sin(w))}).join(" ")});else add("circle",{...a,cx:p[0],cy:p[1],r});
+add("text",{x:p[0]+8,y:p[1]+4,"data-kind":n.data.kind},s.label||n.data.label)})};draw();
+overlays.forEach(o=>{const b=document.createElement("label"),c=document.createElement("input");c.type="checkbox";c.checked=on.has(o.name);c.onchange=()=>{c.checked?on.add(o.name):on.delete(o.name);draw()};b.append(c,o.name);document.getElementById("overlays").append(b,document.createElement("br"))});
 layers.forEach(l=>{const b=document.createElement("label"),c=document.createElement("input");c.type="checkbox";c.checked=l.visible!==false;const show=()=>svg.querySelectorAll("[data-kind]").forEach(e=>{if((l.kinds||[]).includes(e.dataset.kind))e.style.display=c.checked?"":"none"});c.onchange=show;b.append(c,l.name);document.getElementById("layers").append(b,document.createElement("br"));show()});
 </script></body></html>
 """
 DEFAULT_LAYERS = [{"name": "Structure", "kinds": ["contains", "has_parameter"], "visible": True}, {"name": "Control flow", "kinds": ["flows_to", "branches_to"], "visible": True}, {"name": "Data flow", "kinds": ["data_flows_to", "defined_by", "used_by"], "visible": True}, {"name": "Calls", "kinds": ["calls", "resolves_to"], "visible": True}, {"name": "Imports", "kinds": ["import", "imports"], "visible": False}]
 
 
-def to_html(g: Graph, title: str = "Graph", exclude_kinds: list[str] | None = None, layers: list[dict] | None = None, overlay: dict[str, dict] | None = None) -> str:
-    """A page of its own with the graph, layer switches and per-node styles; for graphs a person can look at."""
+def to_html(g: Graph, title: str = "Graph", exclude_kinds: list[str] | None = None, layers: list[dict] | None = None, overlay: dict[str, dict] | None = None, overlays: list[dict] | None = None) -> str:
+    """A page of its own with the graph, layer switches and styles; for graphs a person can look at.
+
+    ``layers`` (name, kinds of edges or nodes, visible) and ``overlays`` (name, visible, ``nodes``: style by id,
+    ``edges``: dicts of source, target and style) get switches; ``overlay`` holds styles by node id that always
+    apply. A node's style: color, size, shape (circle, square, diamond, triangle, hexagon, octagon), label,
+    opacity; an edge's: color, width, style (solid, dashed, dotted), label, opacity. Later overlays win."""
     n, e = html_elements(g, exclude_kinds)
     safe = lambda x: x.replace("</", "<\\/")
     array = lambda df: safe("[" + ",".join(r.json for r in df.toLocalIterator()) + "]")
     stats = "".join(f"<div>{r.kind}: {r['n']}</div>" for r in g.nodes.groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind").toLocalIterator())
-    return _PAGE % {"title": _html.escape(title), "stats": stats, "nodes": array(n), "edges": array(e), "layers": safe(json.dumps(layers or DEFAULT_LAYERS)), "styles": safe(json.dumps(overlay or {}))}
+    return _PAGE % {"title": _html.escape(title), "stats": stats, "nodes": array(n), "edges": array(e), "layers": safe(json.dumps(layers or DEFAULT_LAYERS)), "styles": safe(json.dumps(overlay or {})), "overlays": safe(json.dumps(overlays or []))}
 
 
 def format_rows(df: DataFrame, kind: str = "table") -> str:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from .emitter import Emitter, Scope
+from .lexer import PAIR, tokens_of_items
 
 
 @dataclass(frozen=True)
@@ -41,48 +42,10 @@ LANGUAGES = {
 _SKIP = _WORDS("public private protected static final abstract synchronized native default async export pub mut unsafe extern inline virtual const constexpr readonly declare override explicit volatile register unsigned signed long short template typename throws await new delete typeof go defer ref dyn move")
 _NOT_CALLS = _WORDS("if for while switch catch return sizeof match function func fn else do try new throw case")
 
-_TOKEN = re.compile(
-    r"""(?P<ws>\s+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<directive>^[ \t]*\#[^\n]*)|(?P<str>"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])+')|(?P<num>\d[\w.]*)|(?P<name>[A-Za-z_$@][\w$]*(?:!(?=[\(\[{]))?)|(?P<op>::|->|=>|:=|==|!=|<=|>=|&&|\|\||\+\+|--|[-+*/%&|^]=|\.\.\.|.)""",
-    re.S | re.M | re.X,
-)
-_PAIR = {"(": ")", "[": "]", "{": "}"}
-
-
-@dataclass
-class Tok:
-    kind: str
-    text: str
-    line: int
-    col: int
-    close: int = -1
-
-
-def tokens(text: str) -> list[Tok]:
-    """Tokens with the place of each bracket's partner; a bracket without one is an error."""
-    out: list[Tok] = []
-    line, start, stack = 1, 0, []
-    for m in _TOKEN.finditer(text):
-        kind, s = m.lastgroup, m.group()
-        if kind not in ("ws", "comment"):
-            t = Tok(kind, s.strip() if kind == "directive" else s, line, len(text[start : m.start()].encode()))
-            if s in _PAIR and kind == "op":
-                stack.append(len(out))
-            elif kind == "op" and s in ")]}":
-                if not stack or _PAIR[out[stack[-1]].text] != s:
-                    raise SyntaxError(f"line {line}: {s!r} without its partner")
-                out[stack.pop()].close = len(out)
-            out.append(t)
-        if n := s.count("\n"):
-            line += n
-            start = m.start() + s.rfind("\n") + 1
-    if stack:
-        raise SyntaxError(f"line {out[stack[-1]].line}: {out[stack[-1]].text!r} is not closed")
-    return out
-
 
 class Reader:
     def __init__(self, path: str, text: str, language: str):
-        self.t, self.l, self.lang, self.e, self.s = tokens(text), LANGUAGES[language], language, Emitter(path), Scope()
+        self.t, self.l, self.lang, self.e, self.s = tokens_of_items(text, language), LANGUAGES[language], language, Emitter(path), Scope()
         self.module = self.e.module(PurePosixPath(path).stem)
         self.classes: dict[str, str] = {}
         self.var_types: dict[str, str] = {}
@@ -459,6 +422,8 @@ class Reader:
     def values(self, lo: int, hi: int, scope: str) -> list[str]:
         """Nodes that an expression's data comes from, the left one first; a string concatenation with
         ``+`` in Java is a call of its own fed by its parts."""
+        if self.lang == "java" and (q := self.ternary(lo, hi)):
+            return self.choice(lo, *q, hi, scope)
         found, i, plus, text = [], lo, False, False
         while i < hi:
             t = self.t[i]
@@ -476,7 +441,7 @@ class Reader:
                     found.append(node)
             elif t.text == "(" and self.is_(t.close + 1, "=>", "->"):
                 i = self.lambda_(i, hi, scope)
-            elif t.text in _PAIR:
+            elif t.text in PAIR:
                 if t.text == "{":
                     self.block(i + 1, t.close, scope)
                 else:
@@ -492,6 +457,29 @@ class Reader:
             return [c]
         return found
 
+    def ternary(self, lo: int, hi: int) -> tuple[int, int] | None:
+        """Where the ``?`` of the outermost choice stands and its ``:``; a wildcard of a type is none."""
+        first, depth = None, 0
+        for k in self.top(lo, hi):
+            if self.is_(k, "->"):
+                return None
+            if self.is_(k, "?") and not self.is_(k - 1, "<", ",") and not self.is_(k + 1, ">", "extends", "super"):
+                first, depth = k if first is None else first, depth + 1
+            elif self.is_(k, ":") and first is not None:
+                depth -= 1
+                if not depth:
+                    return first, k
+        return None
+
+    def choice(self, lo: int, ask: int, colon: int, hi: int, scope: str) -> list[str]:
+        """``condition ? a : b``: a call of its own fed by both values."""
+        self.values(lo, ask, scope)
+        both = [self.values(ask + 1, colon, scope)[:1], self.values(colon + 1, hi, scope)[:1]]
+        c = self.e.call("<ternary>", self.at(lo), scope, 2)
+        for x in both[0] + both[1]:
+            self.e.data_flow(x, c)
+        return [c]
+
     def lambda_(self, i: int, hi: int, scope: str) -> int:
         arrow = self.t[i].close + 1
         line, col = self.at(i)
@@ -517,6 +505,9 @@ class Reader:
                 receiver = node if start is not None and i - start > 1 and node and not node.startswith(("import:", "function:", "class:")) else None
                 node = self.invoke(name, start, i, scope, receiver, owner if i - start > 1 else None)
                 i = self.t[i].close + 1
+            elif self.lang == "java" and self.is_(i, "::") and i + 1 < hi and self.t[i + 1].kind == "name":
+                node = self.e.call(f"{name}.{self.t[i + 1].text}", self.at(start), scope, 0)  # a method reference
+                i += 2
             elif self.is_(i, ".", "->", "::") and i + 1 < hi and self.t[i + 1].kind == "name":
                 sep = "::" if self.is_(i, "::") else "."
                 name, i = name + sep + self.t[i + 1].text, i + 2
@@ -565,4 +556,7 @@ _OPENS = _WORDS("return ! ( [")
 
 
 def parse(path: str, content: bytes, language: str) -> Emitter:
-    return Reader(path, content.decode("utf-8", "replace"), language).run()
+    try:
+        return Reader(path, content.decode("utf-8", "replace"), language).run()
+    except RecursionError:
+        raise SyntaxError("nested too deeply") from None

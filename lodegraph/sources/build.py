@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -42,6 +43,8 @@ for _lang in ("java", "javascript", "typescript", "tsx", "go", "rust", "c", "cpp
 
     FRONT_ENDS[_lang] = _brace
 
+#: Emitted rows that a task hands over at once.
+ROWS_AT_ONCE = 100_000
 _ROW = f"what string, path string, error string, node struct<{', '.join(x.replace(' ', ': ', 1) for x in schema.NODES.split(', '))}>, edge struct<{', '.join(x.replace(' ', ': ', 1) for x in schema.EDGES.split(', '))}>"
 
 
@@ -56,6 +59,7 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     def run(batches):
         import pandas as pd
 
+        names = ["what", "path", "error", "node", "edge"]
         for pdf in batches:
             rows = []
             for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"]):
@@ -68,35 +72,59 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                     continue
                 rows += [("node", path, None, dict(zip(nodes_c, n)), None) for n in e.nodes]
                 rows += [("edge", path, None, None, dict(zip(edges_c, n))) for n in e.edges]
-            yield pd.DataFrame(rows, columns=["what", "path", "error", "node", "edge"])
+                if len(rows) > ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     rows, _ = write_out(files.select("path", "language", "content").mapInPandas(run, _ROW), "parsed")
-    rank = files.select("path").distinct().withColumn("rank", F.row_number().over(Window.orderBy("path")).cast("long"))
-    rank, _ = write_out(rank, "ranks")  # one row per file
-    out = rows.join(rank, "path")
+    out = rows.join(ranks(files.select("path").distinct()), "path")
     seq = lambda c: (F.col("rank") * F.lit(1 << 32) + F.col(f"{c}.seq")).alias("seq")
     nodes = out.where("what = 'node'").select(*(F.col(f"node.{c}") for c in nodes_c[:-1]), seq("node"))
     edges = out.where("what = 'edge'").select(*(F.col(f"edge.{c}") for c in edges_c[:-1]), seq("edge"))
     return nodes, edges, rows.where("what = 'error'").select("path", "error")
 
 
-def derive(g: Graph, inside: bool = True, arg_order: str = "definition", cfg: bool = True) -> Graph:
-    """``g`` with control flow, calls, and data flow between functions."""
+def ranks(paths: DataFrame) -> DataFrame:
+    """Rows ``(path, rank)`` in order of the path: sorted by ranges, numbered within each, and moved by
+    the sizes of the ranges before, so no task sees more than a range."""
+    low = F.lit((1 << 33) - 1)  # ids count within a partition in their low 33 bits
+    ordered = paths.repartitionByRange("path").sortWithinPartitions("path")
+    numbered, _ = write_out(ordered.select("path", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(low).alias("n")), "ranks")
+    sizes = numbered.groupBy("part").agg(F.count("*").alias("size"))  # a row for each range
+    offsets = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("offset"))
+    return numbered.join(F.broadcast(offsets), "part").select("path", (F.col("offset") + F.col("n") + 1).alias("rank"))
+
+
+def derive(g: Graph, inside: bool = True, arg_order: str = "definition", cfg: bool = True, reached: Callable[[str], None] = lambda phase: None) -> Graph:
+    """``g`` with control flow, calls, and data flow between functions. ``reached`` hears of each phase."""
     if cfg:
         g = g.add_edges(flow.control_flow(g.nodes))
+    g = g.written()
+    reached("calls")
     resolved, _ = write_out(calls.resolve_calls(g, inside).select("src", "dst", "kind"), "calls")
+    reached("summaries")
     summary, _ = write_out(flow.summaries(g), "summaries")
+    reached("data flow")
     between = flow.argument_flow(g, resolved, arg_order).unionByName(flow.return_flow(g, resolved, summary))
     return g.add_edges(resolved).add_edges(between)
 
 
-def build(files: DataFrame, progress: Callable[[str], None] = lambda phase: None) -> tuple[Graph, DataFrame]:
-    """(graph, errors) of source files."""
-    progress("parse")
+def build(files: DataFrame, progress: Callable[[str], None] = lambda phase: None, timeout: float | None = None) -> tuple[Graph, DataFrame]:
+    """(graph, errors) of source files. ``progress`` hears of each phase as it begins; a build that has
+    taken more than ``timeout`` seconds by then ends in a ``TimeoutError``."""
+    began = time.monotonic()
+
+    def reached(phase: str) -> None:
+        if timeout is not None and time.monotonic() - began > timeout:
+            raise TimeoutError(f"the build took more than {timeout} seconds before: {phase}")
+        progress(phase)
+
+    reached("parse")
     nodes, edges, errors = parse_files(files)
-    progress("derive")
-    g = derive(Graph.of(nodes, edges))
-    progress("done")
+    reached("control flow")
+    g = derive(Graph.of(nodes, edges), reached=reached)
+    reached("done")
     return g, errors
 
 

@@ -81,6 +81,14 @@ class Emitter:
     def data_flow(self, src, dst, field_name=None) -> None:
         self.edge(src, dst, "data_flows_to", **({"field_name": field_name} if field_name else {}))
 
+    def branches_to(self, branch, first) -> None:
+        """Control enters ``first`` from a branch or loop."""
+        self.edge(branch, first, "branches_to")
+
+    def flows_to(self, src, dst) -> None:
+        """Control goes from one statement to the next."""
+        self.edge(src, dst, "flows_to")
+
     def definition(self, variable, by) -> None:
         self.edge(variable, by, "defined_by")
 

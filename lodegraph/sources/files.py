@@ -28,13 +28,14 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(F.create_map(*table), extension(path))
 
 
-def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, languages: list[str] | None = None, relative_to: str | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, languages: list[str] | None = None, relative_to: str | None = None, vanishing: bool = False) -> DataFrame:
     """Rows ``(path, language, content, mtime)`` of a tree's source files, paths relative to the root.
 
-    Files of no known extension are left out; so are those that an exclude pattern matches."""
+    Files of no known extension are left out; so are those that an exclude pattern matches and, if
+    ``vanishing``, those deleted between listing and reading."""
     if languages and (unknown := set(languages) - set(LANGUAGES)):
         raise ValueError(f"unknown language: {', '.join(sorted(unknown))}")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", vanishing).load(root)
     base = relative_to or root
     path = F.regexp_replace("path", "^file:/*(?=/)", "")
     out = found.select(relative_path(path, base.removeprefix("file://")).alias("path"), "content", F.col("modificationTime").alias("mtime"))

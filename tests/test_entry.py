@@ -16,7 +16,7 @@ def test_imports_without_a_session():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["edges_by_kind", "scope_chain_filter", "cfg_flows_to", "reach_forward", "pattern_direct", "call_resolution_all", "taint_paths", "diff_added", "json_roundtrip"])
+@pytest.mark.parametrize("name", ["edges_by_kind", "scope_chain_filter", "cfg_flows_to", "reach_forward", "pattern_direct", "call_resolution_all", "taint_paths", "diff_added", "json_roundtrip", "reach_backward", "taint_path_nodes", "taint_apply_roles", "removals", "front_end_nodes", "front_end_flows"])
 def test_queries_say_what_their_sql_says(spark, name):
     import duckdb
 
