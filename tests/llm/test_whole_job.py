@@ -93,3 +93,52 @@ def test_spans_under_a_wider_one_go():
     t = "mail a​b@example.com at example dot com " * 3000
     base, added = pii.find_spans(t)
     assert len(base) == 3000 and all(not any(x[1] <= y[1] and y[2] <= x[2] and x != y for x in added[max(0, k - 3) : k + 3]) for k, y in enumerate(added))
+
+
+def test_shared_passages_go_from_end_to_end(spark):
+    """A passage inside differing lines leaves whole, also where its keeper shares more with a third document."""
+    rng = random.Random(19)
+    p = [words(rng, n).split() for n in (43, 51, 60, 120)]
+    texts = [f"{words(rng, 30)} {' '.join(p[0])} {words(rng, 7)} {' '.join(p[1])} {words(rng, 25)} {' '.join(p[3])}", f"{words(rng, 3)} {' '.join(p[0]).upper()} {words(rng, 40)}", f"{words(rng, 30)} {' '.join(p[1])}\n{words(rng, 6)}", f"{' '.join(p[2])} {words(rng, 30)}", f"{'x y ' * 9}{' '.join(p[2])} z", f"{words(rng, 50)} {' '.join(p[3][30:90])} {words(rng, 9)}"]
+    left = {1: texts[1].replace(" ".join(p[0]).upper(), ""), 2: texts[2].replace(" ".join(p[1]), ""), 4: "x y " * 9 + " z", 5: texts[5].replace(" ".join(p[3][30:90]), "")}
+    docs = docs_of(spark, texts).withColumnsRenamed({"lang": "_id", "source": "_spans"})
+    out = {r.doc_id: r.text for r in paragraphs.dedup(docs).collect()}
+    assert out == {i: left.get(i, t) for i, t in enumerate(texts)}
+    assert paragraphs.dedup(docs).columns == docs.columns
+
+
+def test_paragraph_links_and_components_against_brute_force(spark):
+    """Banded and verified lines: no link below 0.8, at least 0.95 of those above, and their components."""
+    rng = random.Random(20)
+    lines = []
+    for _ in range(60):
+        first = words(rng, rng.randrange(5, 70)).split()
+        lines.append(first)
+        for _ in range(rng.randrange(4)):
+            again = list(rng.choice(lines[-3:]))
+            for _ in range(rng.randrange(4)):
+                again[rng.randrange(len(again))] = f"e{rng.randrange(10**6)}"
+            lines.append(again)
+    sets = [frozenset(zip(*(w[k:] for k in range(5)))) for w in lines]
+    n = len(lines)
+    close = [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(n))
+    for _ in range(n):
+        for i, j in close:
+            root[i] = root[j] = min(root[i], root[j])
+    filler = [f"{words(rng, 40)}\n" for _ in lines]
+    docs = docs_of(spark, [f"{filler[i]}{' '.join(w)}" for i, w in enumerate(lines)])
+    got = {r.doc_id: r.component_id for r in paragraphs.summary(docs).collect()}
+    links = [(i, j) for i, j in close if got[i] == got[j]]
+    assert len(close) > 60 and len(links) >= 0.95 * len(close)
+    assert all(root[i] == root[got[i]] for i in range(n))  # nothing joined that links do not join
+    assert sum(got[i] == root[i] for i in range(n)) >= 0.95 * n
+
+
+def test_repeated_rows_and_long_texts_of_paragraphs(spark):
+    rng = random.Random(21)
+    long = words(rng, 60_000)
+    rows = [(1, long, "en", "s", 0), (1, long, "en", "s", 0), (2, f"{words(rng, 9)}\n{long}", "en", "s", 0), (None, long, "en", "s", 0), (3, None, "en", "s", 0)]
+    got = paragraphs.summary(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id or 0, r.clean, r.component_id or 0) for r in got) == [(0, True, 0), (1, True, 1), (1, True, 1), (2, False, 1), (3, True, 3)]
+    assert next(r.n_removed for r in got if r.doc_id == 2) == len(long)
