@@ -424,7 +424,8 @@ def test_commands_beside_the_main_ones(spark, tmp_path, capsys, monkeypatch):
     for shell in ("bash", "zsh", "fish"):
         assert cli.main(["completions", shell]) == 0 and "show-sanitized" in capsys.readouterr().out
     assert cli.main(["--json-errors", "info", str(tmp_path / "nothing")]) == 1
-    assert "message" in json.loads(capsys.readouterr().err.strip().splitlines()[-1])
+    err = capsys.readouterr().err
+    assert "message" in json.loads(err[err.rindex('{"error"') :].splitlines()[0])
 
 
 def test_public_names():
