@@ -4,8 +4,8 @@ Paragraphs are lines of at least five words (one shingle), blocks of several lin
 (wrapped paragraphs), and passages: runs of 20 words that begin where a shingle hash is the least of 24
 neighbours (winnowing), so that two texts share a passage wherever they share 43 words, whatever their
 lines. All are banded by MinHash over five-word shingles: lines and blocks with as many bands as a pair
-at the threshold needs to meet with the wanted probability; passages with one, since two picked inside
-the same run of words are equal and meet in any band. What meets in a band is verified by exact Jaccard
+at the threshold needs to meet with the wanted probability; passages with one of many rows, since two
+picked inside the same run of words are equal and meet in any band. What meets in a band is verified by exact Jaccard
 similarity (equal paragraphs, told by 128 bits of two independent hashes of their characters, are one
 node, with a similarity of 1) and clustered by components. A cluster stays where it stands in the
 document of the smallest id and is removed from all others. Where the spans removed from a document end
@@ -37,7 +37,9 @@ from .components import connected_components
 from .pieces import _mix, _spread
 
 SHINGLE, PASSAGE_WORDS, WINNOW = 5, 20, 24
-CHARS_AT_ONCE = 3_000_000
+#: Rows of the one band of passages: equal ones meet however many there are, and overlapping ones seldom.
+PASSAGE_ROWS = 16
+CHARS_AT_ONCE = 2_000_000
 #: Band keys and lines in question that are broadcast at most (16 bytes each).
 KEYS_AT_MOST = 1_000_000
 #: Lines of a block of a large band, and shingles of sparse pairs that are looked up at once.
@@ -185,7 +187,7 @@ class Bands:
 def units(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, rows: int = 4) -> DataFrame:
     """Rows ``(id, h1, h2, lo, hi, passage, keys)``: every line, block and passage with its hashes, code
     point span and band keys: all bands, or one for few shingles and for passages."""
-    bands, few = Bands(tune_bands(threshold, recall, rows), rows), _few(threshold)
+    bands, alike, few = Bands(tune_bands(threshold, recall, rows), rows), Bands(1, PASSAGE_ROWS), _few(threshold)
 
     def run(batch: pa.RecordBatch):
         for ids, w in _batches(batch.column(0), [x or "" for x in batch.column(1).to_pylist()]):
@@ -197,8 +199,9 @@ def units(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, rows: i
             n = np.diff(np.append(first, len(shingle)))
             many = np.flatnonzero(is_line & (n > few))
             lines = int(is_line.sum())
-            keys = [bands.key(0, shingle, first)]
-            part, at = shingle[: first[lines] if lines < len(first) else len(shingle)], first[:lines]
+            cut = first[lines] if lines < len(first) else len(shingle)
+            part, at = shingle[:cut], first[:lines]
+            keys = [bands.key(0, part, at), alike.key(0, shingle[cut:], first[lines:] - cut)]
             keys += [bands.key(b, part, at)[many] for b in range(1, bands.bands)]
             of = np.concatenate([np.arange(len(lo)), *([many] * (bands.bands - 1))])
             order = np.argsort(of, kind="stable")
@@ -302,7 +305,7 @@ def clusters(u: DataFrame, docs: DataFrame, threshold: float = 0.8) -> DataFrame
     """Rows ``(h1, h2, lead)`` of paragraphs whose cluster stands in more than one document; ``lead`` is the smallest id.
 
     ``u``: the paragraphs of ``docs`` as ``units`` gives them, written."""
-    banded = u.select(F.explode("keys").alias("key"), F.col("h1").alias("line")).distinct()
+    banded = u.select(F.explode("keys").alias("key"), F.col("h1").alias("line"))
     near = materialize(line_clusters(docs, threshold, unit=Words.units, banded=banded), "near")
     held = u.join(checked_broadcast(near, KEYS_AT_MOST), u.h1 == near.line).groupBy("h1", "h2", "root").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
     held = materialize(held, "held")

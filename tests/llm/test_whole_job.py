@@ -137,7 +137,7 @@ def test_paragraph_links_and_components_against_brute_force(spark):
 def test_repeated_rows_and_long_texts_of_paragraphs(spark):
     rng = random.Random(21)
     long = words(rng, 60_000)
-    rows = [(1, long, "en", "s", 0), (1, long, "en", "s", 0), (2, f"{words(rng, 9)}\n{long}", "en", "s", 0), (None, long, "en", "s", 0), (3, None, "en", "s", 0)]
+    rows = [(1, long, "en", "s", 0), (1, long, "en", "s", 0), (2, f"{words(rng, 9)}\n\n{long}", "en", "s", 0), (None, long, "en", "s", 0), (3, None, "en", "s", 0)]
     got = paragraphs.summary(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted((r.doc_id or 0, r.clean, r.component_id or 0) for r in got) == [(0, True, 0), (1, True, 1), (1, True, 1), (2, False, 1), (3, True, 3)]
     assert next(r.n_removed for r in got if r.doc_id == 2) == len(long)
