@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +49,13 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of work that nothing refers to any more: it does so when the
+    driver's JVM collects garbage, which a driver with little to do may put off for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is (a shuffled join).
 

@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import compare_buckets, forest
-from .common import arrow_map, checked_broadcast, discard, materialize, unused
+from .common import arrow_map, checked_broadcast, discard, materialize, release, unused
 from .components import connected_components
 from .pieces import _mix, _spread
 
 SHINGLE, PASSAGE_WORDS, WINNOW = 5, 20, 24
 #: Rows of the one band of passages: equal ones meet however many there are, and overlapping ones seldom.
-PASSAGE_ROWS = 16
+PASSAGE_ROWS = 32
 CHARS_AT_ONCE = 2_000_000
 #: Band keys and lines in question that are broadcast at most (16 bytes each).
 KEYS_AT_MOST = 1_000_000
@@ -234,18 +234,30 @@ def band_rows(docs: DataFrame, bands: int, rows: int, unit: Callable = Words.lin
     return arrow_map(docs, run, "key long, line long")
 
 
-def shingle_sets(docs: DataFrame, unit: Callable = Words.lines) -> DataFrame:
-    """Rows ``(line, shingles)``: the distinct shingle hashes of each line."""
+def shingle_sets(docs: DataFrame, unit: Callable = Words.lines, asked: DataFrame | None = None) -> DataFrame:
+    """Rows ``(line, shingles)``: the distinct shingle hashes of each line, or of those ``asked`` for (a
+    written table of distinct lines). Up to ``KEYS_AT_MOST`` of them are looked up where the shingles are
+    made, 8 bytes each; more are joined."""
+    few = None
+    if asked is not None and asked.count() <= KEYS_AT_MOST:
+        few = np.sort(asked.toArrow()["line"].to_numpy())
 
     def run(batch: pa.RecordBatch):
         for _, w in _batches(batch.column(0), [x or "" for x in batch.column(1).to_pylist()]):
             line, shingle, first = _line_shingles(w, unit)
+            if few is not None and len(line):
+                size, here = np.diff(np.append(first, len(shingle))), np.zeros(len(line), bool)
+                once = np.unique(line, return_index=True)[1]
+                here[once] = few[np.minimum(np.searchsorted(few, line[once]), len(few) - 1)] == line[once] if len(few) else False
+                line, shingle, size = line[here], shingle[_spread(first[here], size[here])], size[here]
+                first = np.cumsum(size) - size
             if not len(line):
                 continue
             offsets = np.append(first, len(shingle)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(line), pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingle.view(np.int64)))], names=["line", "shingles"])
 
-    return arrow_map(docs, run, "line long, shingles array<long>").withColumn("shingles", F.array_distinct("shingles"))
+    out = arrow_map(docs, run, "line long, shingles array<long>").withColumn("shingles", F.array_distinct("shingles"))
+    return out if few is not None or asked is None else out.join(asked, "line")
 
 
 def _similar(sets: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -285,10 +297,12 @@ def line_clusters(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99,
     if banded is None:
         banded = materialize(band_rows(docs, tune_bands(threshold, recall, rows), rows, unit, threshold), "banded")
     banded = banded if more is None else banded.unionByName(more)
-    meet = materialize(banded.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("z")).where("a < z").select("key"), "bands")
+    low = F.col("line").bitwiseAND(0xFFFFFFFF).cast("int")  # half a hash will do to see that two differ
+    meet = materialize(banded.groupBy("key").agg(F.min(low).alias("a"), F.max(low).alias("z")).where("a < z").select("key"), "bands")
     members = materialize(banded.join(checked_broadcast(meet, KEYS_AT_MOST), "key").distinct(), "members")
     asked = materialize(members.select("line").distinct(), "lines")
-    sets = materialize(shingle_sets(docs, unit).join(checked_broadcast(asked, KEYS_AT_MOST), "line").dropDuplicates(["line"]), "sets")
+    sets = materialize(shingle_sets(docs, unit, asked).dropDuplicates(["line"]), "sets")
+    release(banded.sparkSession)
 
     def verify(cols, a, b):
         keep = _similar(cols["shingles"], a, b, threshold)
@@ -414,8 +428,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     u = materialize(units(d, threshold), "units")
     dups = materialize(clusters(u, d, threshold), "dups")
+    release(docs.sparkSession)
     removed = materialize(u.select("id", "h1", "h2", "lo", "hi", "passage").join(dups, ["h1", "h2"]).where("id <> lead").drop("h2"), "removed")
     discard(u)
+    release(docs.sparkSession)
     found = materialize(runs(removed), "runs")
     leads = removed.groupBy("id").agg(F.sort_array(F.collect_set("lead")).alias("leads"))
     spans = extended(found, d).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("s"))
