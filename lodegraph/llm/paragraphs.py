@@ -297,7 +297,7 @@ def line_clusters(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99,
     if banded is None:
         banded = materialize(band_rows(docs, tune_bands(threshold, recall, rows), rows, unit, threshold), "banded")
     banded = banded if more is None else banded.unionByName(more)
-    low = F.col("line").bitwiseAND(0xFFFFFFFF).cast("int")  # half a hash will do to see that two differ
+    low = F.col("line").bitwiseAND(0x7FFFFFFF).cast("int")  # half a hash will do to see that two differ
     meet = materialize(banded.groupBy("key").agg(F.min(low).alias("a"), F.max(low).alias("z")).where("a < z").select("key"), "bands")
     members = materialize(banded.join(checked_broadcast(meet, KEYS_AT_MOST), "key").distinct(), "members")
     asked = materialize(members.select("line").distinct(), "lines")
