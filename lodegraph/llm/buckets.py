@@ -17,14 +17,15 @@ BLOCK_ROWS = 4096
 PAIRS_AT_ONCE = 2_000_000
 
 
-def compare_buckets(rows: DataFrame, key: str, spread: str, lead: str | None, kernel: Callable, schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def compare_buckets(rows: DataFrame, key: str, spread: str, lead: str | None, kernel: Callable, schema: str, block_rows: int = BLOCK_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Run ``kernel`` over every pair of rows with the same ``key`` (never null).
 
     A bucket of more than ``block_rows`` rows is cut into chunks by a hash of ``spread``, and each pair
     of chunks is a block of its own, so no task holds more than two chunks and no pair is left out.
     ``lead`` names a boolean column: only pairs with a lead row are compared. ``kernel(columns, a, b)``
-    gets the columns as numpy arrays and the pairs as positions, and returns a record batch or None."""
-    large = materialize(rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > block_rows), "large")
+    gets the columns as numpy arrays and the pairs as positions, and returns a record batch or None.
+    ``sizes`` has the same keys as ``rows``, as often, where those are cheaper to count there."""
+    large = materialize((rows if sizes is None else sizes).groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > block_rows), "large")
     if large.isEmpty():
         dealt = rows.withColumns({"_i": F.lit(0), "_j": F.lit(0), "_side": F.lit(0)})
     else:

@@ -290,6 +290,14 @@ def _similar(sets: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -
     return out
 
 
+def _once(members: DataFrame) -> DataFrame:
+    """``members`` (key, line) without the keys whose lines are just those of another key: two near copies
+    meet in several bands, and most of those hold the two alone."""
+    alike = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("line")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "line")).alias("y"))
+    keep = alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return members.join(keep, "key", "left_semi")
+
+
 def line_clusters(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, rows: int = 4, unit: Callable = Words.lines, more: DataFrame | None = None, banded: DataFrame | None = None) -> DataFrame:
     """Rows ``(line, root)`` for lines (or what else ``unit`` gives) with a near-duplicate, by hash.
     ``more`` holds further rows ``(key, line)``: lines that share a key are compared as in a band.
@@ -299,10 +307,11 @@ def line_clusters(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99,
     banded = banded if more is None else banded.unionByName(more)
     low = F.col("line").bitwiseAND(0x7FFFFFFF).cast("int")  # half a hash will do to see that two differ
     meet = materialize(banded.groupBy("key").agg(F.min(low).alias("a"), F.max(low).alias("z")).where("a < z").select("key"), "bands")
-    members = materialize(banded.join(checked_broadcast(meet, KEYS_AT_MOST), "key").distinct(), "members")
+    release(banded.sparkSession)
+    members = materialize(_once(materialize(banded.join(checked_broadcast(meet, KEYS_AT_MOST), "key").distinct(), "members")), "members")
     asked = materialize(members.select("line").distinct(), "lines")
-    sets = materialize(shingle_sets(docs, unit, asked).dropDuplicates(["line"]), "sets")
     release(banded.sparkSession)
+    sets = shingle_sets(docs, unit, asked).dropDuplicates(["line"])
 
     def verify(cols, a, b):
         keep = _similar(cols["shingles"], a, b, threshold)
@@ -311,7 +320,8 @@ def line_clusters(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99,
         x, y = forest(cols["line"][a[keep]], cols["line"][b[keep]])
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    links = compare_buckets(members.join(sets, "line"), "key", "line", None, verify, "a long, b long", BLOCK_LINES)
+    links = materialize(compare_buckets(members.join(sets, "line"), "key", "line", None, verify, "a long, b long", BLOCK_LINES, members), "links")
+    release(banded.sparkSession)
     return connected_components(links).withColumnRenamed("node", "line")
 
 
