@@ -373,35 +373,40 @@ def runs(removed: DataFrame) -> DataFrame:
 
 
 def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows ``(id, h, left, at, again, words, places)`` for each place of each passage asked for (``id, h,
-    left``): where it begins (or ends), whether that is not its first place, the hashes of up to 23 words
-    before it from the nearest on (or after it), and where those begin (or end)."""
-    by = asked.groupBy("id").agg(F.collect_set(F.struct("h", "left")).alias("asks"))
+    """Rows ``(id, h, left, at, words, places)`` for each passage asked for (``id, h, left, at``) that begins
+    (or ends) at ``at``, or for its first place where ``at`` is null: the hashes of up to 23 words before
+    it from the nearest on (or after it), and where those begin (or end)."""
+    by = asked.groupBy("id").agg(F.collect_set(F.struct("h", "left", "at")).alias("asks"))
     d = docs.join(by, "id").select("id", "text", "asks")
 
     def run(batch: pa.RecordBatch):
         rows = []
-        for k, (doc, text, asks) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+        for doc, text, asks in zip(*(batch.column(k).to_pylist() for k in range(3))):
             w = Words([text or ""])
             lo, hi = w.passages()
             place: dict[int, list[int]] = {}
             for j, h in enumerate(w.ranges[0].hash(lo, hi).view(np.int64).tolist()):
                 place.setdefault(h, []).append(j)
             for ask in asks:
-                for n, j in enumerate(place.get(ask["h"], ())):
-                    if ask["left"]:
-                        x = np.arange(lo[j] - 1, max(lo[j] - WINNOW, -1), -1)
-                        at, places = w.lo[lo[j]], w.lo[x]
-                    else:
-                        x = np.arange(hi[j], min(hi[j] + WINNOW - 1, len(w.lo)))
-                        at, places = w.hi[hi[j] - 1], w.hi[x]
-                    rows.append((doc, ask["h"], ask["left"], int(at), n > 0, w.hash[x].tobytes(), places.astype(np.int32).tobytes()))
-            if len(rows) > 4096 or (rows and k == batch.num_rows - 1):
-                kinds = pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["id", "h", "left", "at", "again", "words", "places"])
+                ends = w.lo[lo] if ask["left"] else w.hi[hi - 1]
+                found = place.get(ask["h"], ())
+                j = next((j for j in found if ask["at"] is None or ends[j] == ask["at"]), None)
+                if j is None:
+                    continue
+                x = np.arange(lo[j] - 1, max(lo[j] - WINNOW, -1), -1) if ask["left"] else np.arange(hi[j], min(hi[j] + WINNOW - 1, len(w.lo)))
+                places = (w.lo if ask["left"] else w.hi)[x]
+                rows.append((doc, ask["h"], ask["left"], ask["at"], w.hash[x].tobytes(), places.astype(np.int32).tobytes()))
+            if len(rows) > 4096:
+                yield batch_of(rows)
                 rows = []
+        if rows:
+            yield batch_of(rows)
 
-    return arrow_map(d, run, "id long, h long, left boolean, at int, again boolean, words binary, places binary")
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["id", "h", "left", "at", "words", "places"])
+
+    return arrow_map(d, run, "id long, h long, left boolean, at int, words binary, places binary")
 
 
 def extended(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -412,10 +417,10 @@ def extended(found: DataFrame, docs: DataFrame) -> DataFrame:
     gives them, written."""
     side = lambda left, h, lead, at: found.where(F.col(h).isNotNull()).select("id", "lo", "hi", F.lit(left).alias("left"), F.col(h).alias("h"), F.col(lead).alias("lead"), F.col(at).alias("at"))
     ends = side(True, "first_h", "first_lead", "lo").unionByName(side(False, "last_h", "last_lead", "hi"))
-    asked = ends.select("id", "h", "left").unionByName(ends.select(F.col("lead").alias("id"), "h", "left")).distinct()
+    asked = ends.select("id", "h", "left", "at").unionByName(ends.select(F.col("lead").alias("id"), "h", "left", F.lit(None).cast("int").alias("at")))
     c = materialize(contexts(docs, asked), "contexts")
-    mine = c.select("id", "h", "left", "at", "words", "places").dropDuplicates(["id", "h", "left", "at"])
-    theirs = c.where("not again").select(F.col("id").alias("lead"), "h", "left", F.col("words").alias("other")).dropDuplicates(["lead", "h", "left"])
+    mine = c.where("at is not null").dropDuplicates(["id", "h", "left", "at"])
+    theirs = c.where("at is null").select(F.col("id").alias("lead"), "h", "left", F.col("words").alias("other")).dropDuplicates(["lead", "h", "left"])
     both = ends.join(mine, ["id", "h", "left", "at"]).join(theirs, ["lead", "h", "left"]).select("id", "lo", "hi", "left", "words", "other", "places")
 
     def run(batch: pa.RecordBatch):
