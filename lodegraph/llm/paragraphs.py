@@ -151,11 +151,18 @@ def _batches(ids: pa.Array, texts: list[str]):
         lo = hi
 
 
-def _line_shingles(w: Words, unit: Callable = Words.lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line hash, shingles of all lines, where each line's begin); a line of fewer words is one shingle."""
+def _line_shingles(w: Words, unit: Callable = Words.lines, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line hash, shingles of all lines, where each line's begin); a line of fewer words is one shingle.
+    ``only``: hashes, sorted, of the lines that count, once each."""
     lo, hi = unit(w)
+    line = w.ranges[0].hash(lo, hi)
+    if only is not None:
+        once = np.unique(line.view(np.int64), return_index=True)[1] if len(only) else np.zeros(0, np.int64)
+        at = np.searchsorted(only, line[once].view(np.int64))
+        once = once[only[np.minimum(at, len(only) - 1)] == line[once].view(np.int64)] if len(once) else once
+        lo, hi, line = lo[once], hi[once], line[once]
     n = np.maximum(hi - lo - SHINGLE + 1, 1)
-    line, first, short = w.ranges[0].hash(lo, hi), np.cumsum(n) - n, hi - lo < SHINGLE
+    first, short = np.cumsum(n) - n, hi - lo < SHINGLE
     at = _spread(lo, n)
     shingle = w.shingle[np.minimum(at, len(w.shingle) - 1)] if len(w.shingle) else np.zeros(len(at), np.uint64)
     shingle[first[short]] = line[short]
@@ -244,13 +251,7 @@ def shingle_sets(docs: DataFrame, unit: Callable = Words.lines, asked: DataFrame
 
     def run(batch: pa.RecordBatch):
         for _, w in _batches(batch.column(0), [x or "" for x in batch.column(1).to_pylist()]):
-            line, shingle, first = _line_shingles(w, unit)
-            if few is not None and len(line):
-                size, here = np.diff(np.append(first, len(shingle))), np.zeros(len(line), bool)
-                once = np.unique(line, return_index=True)[1]
-                here[once] = few[np.minimum(np.searchsorted(few, line[once]), len(few) - 1)] == line[once] if len(few) else False
-                line, shingle, size = line[here], shingle[_spread(first[here], size[here])], size[here]
-                first = np.cumsum(size) - size
+            line, shingle, first = _line_shingles(w, unit, few)
             if not len(line):
                 continue
             offsets = np.append(first, len(shingle)).astype(np.int32)
