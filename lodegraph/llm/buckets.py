@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize
+from .common import checked_broadcast, give_back, materialize
 
 #: Rows of one block; a bucket of more is dealt out as pairs of chunks of about this size.
 BLOCK_ROWS = 4096
@@ -71,6 +71,8 @@ def _runs(key: str, lead: str | None, kernel: Callable) -> Callable:
             held = t.slice(cut).to_batches()
         if held:
             yield from work(pa.Table.from_batches(held).combine_chunks())
+        held = []
+        give_back()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -63,6 +64,16 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: workers live on, and what one stage's
+    arrays took would add to what the next one's take."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch that returns a batch, an iterator of them, or None."""
 
@@ -73,6 +84,8 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
                 yield out
             elif out is not None:
                 yield from out
+            del batch, out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
