@@ -96,7 +96,7 @@ def _diff(a) -> None:
 def _annotate(a) -> None:
     g, counts = change.annotate(_load(a.graph), rules.annotation_rules(a.rules))
     _save(g, a.output)
-    _show(counts.orderBy("rule"), a)
+    _write(documents.format_rows(counts.orderBy("rule"), a.output_format), None)  # the output is the graph's
 
 
 def _pattern(a) -> None:

@@ -428,6 +428,21 @@ def test_commands_beside_the_main_ones(spark, tmp_path, capsys, monkeypatch):
     assert "message" in json.loads(err[err.rindex('{"error"') :].splitlines()[0])
 
 
+def test_annotate_keeps_the_graph_and_prints_the_counts(spark, tmp_path, capsys):
+    at = lambda name: str(tmp_path / name)
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("def f(x):\n    return eval(x)\n")
+    (tmp_path / "r.yaml").write_text("annotations: [{match: {kind: call}, set: {risky: true}}]\n")
+    assert cli.main(["build", str(src), "-o", at("graph")]) == 0
+    capsys.readouterr()
+    code = cli.main(["annotate", at("graph"), at("r.yaml"), "-o", at("marked"), "--output-format", "csv"])
+    out = capsys.readouterr()
+    assert code == 0 and out.out.split() == ["rule,n", "0,1"], out.err
+    assert cli.main(["query", at("marked"), "--annotation", "risky", "--output-format", "csv"]) == 0
+    assert "eval" in capsys.readouterr().out
+
+
 def test_public_names():
     import lodegraph
 
