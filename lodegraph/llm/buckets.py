@@ -17,7 +17,7 @@ BLOCK_ROWS = 4096
 PAIRS_AT_ONCE = 2_000_000
 
 
-def compare_buckets(rows: DataFrame, key: str, spread: str, lead: str | None, kernel: Callable, schema: str, block_rows: int = BLOCK_ROWS, sizes: DataFrame | None = None) -> DataFrame:
+def compare_buckets(rows: DataFrame, key: str, spread: str, lead: str | None, kernel: Callable, schema: str, block_rows: int = BLOCK_ROWS, *, sizes: DataFrame | None = None) -> DataFrame:
     """Run ``kernel`` over every pair of rows with the same ``key`` (never null).
 
     A bucket of more than ``block_rows`` rows is cut into chunks by a hash of ``spread``, and each pair

@@ -321,7 +321,7 @@ def line_clusters(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99,
         x, y = forest(cols["line"][a[keep]], cols["line"][b[keep]])
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    links = materialize(compare_buckets(members.join(sets, "line"), "key", "line", None, verify, "a long, b long", BLOCK_LINES, members), "links")
+    links = materialize(compare_buckets(members.join(sets, "line"), "key", "line", None, verify, "a long, b long", BLOCK_LINES, sizes=members), "links")
     release(banded.sparkSession)
     return connected_components(links).withColumnRenamed("node", "line")
 
