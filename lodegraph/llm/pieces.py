@@ -22,23 +22,22 @@ whole; memory grows with the longest text. Decoding returns every text exactly.
 
 from __future__ import annotations
 
-import itertools
 import math
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, text_slices
 
-_CHUNKS = re.compile(r" +[^ ]*|[^ ]+").findall
 #: Characters whose chunks share one table of lattices, and chunks that are sampled at once.
 LATTICE_CHARS, CHUNKS_AT_ONCE = 6_000_000, 150_000
 _SHIFT = 21
+_SLOT_BITS, _SLOT_FACTOR = 18, 0x9E3779B97F4A7C15
 
 
 class Pieces:
@@ -76,88 +75,174 @@ class Pieces:
             for c in surface[i]:
                 at = keys.setdefault(at << _SHIFT | ord(c), len(keys) + 1)
             end[at] = i
-        self.keys = np.array(sorted(keys), np.int64)
-        self.next = np.array([keys[k] for k in self.keys.tolist()], np.int64)
-        self.begin = np.zeros(0x110000, np.int64)  # by first character; 0: none
+        slots, held = np.array([*keys], np.int64), np.array([*keys.values()], np.int32)
+        bits = max(_SLOT_BITS, len(keys).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        self.slot_key, self.slot_next = np.full((1 << bits) + len(keys), -1, np.int64), np.zeros((1 << bits) + len(keys), np.int32)
+        at, left = self._slot(slots), np.arange(len(keys))
+        while len(left):  # open addressing: the first of those that want a free slot has it, the others look at the next one
+            free = left[self.slot_key[at[left]] < 0]
+            _, first = np.unique(at[free], return_index=True)
+            self.slot_key[at[free[first]]], self.slot_next[at[free[first]]] = slots[free[first]], held[free[first]]
+            left = left[self.slot_key[at[left]] != slots[left]]
+            at[left] += 1
+        self.inner = np.zeros(len(keys) + 1, bool)  # states that a character can follow
+        self.inner[slots >> _SHIFT] = True
+        self.begin = np.zeros(0x110000, np.int32)  # by first character; 0: none
         for c in {s[0] for s in surface.values() if s}:
             self.begin[ord(c)] = keys[ord(c)]
         self.end = np.full(len(keys) + 1, -1, np.int32)
         self.end[list(end)] = list(end.values())
+        self.bytes = pa.array(self.surface, pa.large_binary())
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(_SLOT_FACTOR)) >> self.shift).view(np.int64)
+
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """States after one more character; 0: none."""
+        key = state.astype(np.int64) << _SHIFT | char
+        at = self._slot(key)
+        found = self.slot_key[at]
+        out = np.where(found == key, self.slot_next[at], 0)
+        left = np.flatnonzero((found != key) & (found >= 0))
+        while len(left):
+            at[left] += 1
+            found = self.slot_key[at[left]]
+            fine = found == key[left]
+            out[left[fine]] = self.slot_next[at[left[fine]]]
+            left = left[~fine & (found >= 0)]
+        return out
+
+    def crcs(self, ids: np.ndarray, ends: np.ndarray) -> list[int]:
+        """The crc32 of what each run of ``ids`` (up to its end) decodes to, as ``decode`` would have it."""
+        taken = self.bytes.take(pa.array(ids))
+        _, at, data = taken.buffers()
+        at = np.frombuffer(at, np.int64)[taken.offset :] if len(taken) else np.zeros(1, np.int64)
+        data, cuts = memoryview(data or b""), at[ends].tolist()
+        return [zlib.crc32(data[min(lo + 1, hi) : hi]) for lo, hi in zip([int(at[0]), *cuts], cuts)]
 
     def decode(self, ids) -> bytes:
         """UTF-8 of the text that was encoded."""
         return b"".join(map(self.surface.__getitem__, ids))[1:]
 
 
+def _chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct chunks of UTF-8 texts with a space before each (null or empty: no chunk), the number of
+    each chunk in the order of the texts, and where each text's chunks end."""
+    texts = texts.cast(pa.large_binary())
+    words = pc.split_pattern(texts, " ")
+    bare = pc.fill_null(pc.equal(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    coded = words.flatten().dictionary_encode()
+    number, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    del words, coded
+    if bare.any():  # each would be one empty word
+        number, ends = np.delete(number, ends[bare] - 1), ends - np.cumsum(bare)
+    keep = number != (names.index(b"") if b"" in names else -1)
+    keep[ends[ends > 0] - 1] = True  # an empty word is one more space before the next, or stands at the end
+    spots = np.flatnonzero(keep)
+    spaces = np.diff(spots, prepend=-1) - 1
+    number, odd = number[spots], np.flatnonzero(spaces)
+    if len(odd):
+        kind, number[odd] = np.unique(spaces[odd] << 32 | number[odd], return_inverse=True)
+        number[odd] += len(names)
+        names += [b" " * (x >> 32) + names[x & 0xFFFFFFFF] for x in kind.tolist()]
+    return [" " + x.decode("utf-8", "surrogatepass") for x in names], number, np.searchsorted(spots, ends)
+
+
 class Lattices:
-    """The lattices of distinct chunks: nodes, and for each node its edges (``first[i]`` on)."""
+    """The lattices of distinct chunks: nodes, and for each node its edges (``first[i]`` on). Nodes stand
+    by the characters left, longer chunks first, so those that are worked on together are neighbours."""
 
     def __init__(self, chunks: list[str], p: Pieces):
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        char = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        stop = np.repeat(np.cumsum(size), size)  # by character
-        self.root = np.cumsum(size + 1) - size - 1
-        n_nodes = int(size.sum() + len(size))
-        shift = np.repeat(np.arange(len(size)), size)  # a chunk's nodes: one more than its characters
-        src, dst, piece, single = [], [], [], np.zeros(len(char), bool)
+        char = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        by = np.argsort(-size, kind="stable")
+        wide = len(size) - np.concatenate([[0], np.cumsum(np.bincount(size))[:-1]])  # nodes with so many characters left
+        level = np.cumsum(wide) - wide
+        n, n_nodes = len(size), int(wide.sum())
+        self.root = np.empty(n, np.int64)
+        self.root[by] = level[size[by]] + np.arange(n)
+        to_go = np.repeat(np.arange(len(wide), dtype=np.int32), wide)
+        rank = np.arange(n_nodes) - np.repeat(level, wide)
+        self.offset = (size[by][rank] - to_go).astype(np.int32)
+        letter = np.zeros(n_nodes, np.int32)
+        letter[n:] = char[np.cumsum(size)[by][rank[n:]] - to_go[n:]]
+        down = np.arange(n_nodes, dtype=np.int32)  # the node after one character
+        down[n:] -= np.repeat(wide[:-1], wide[1:]).astype(np.int32)
+        del rank, char, to_go, by
+        src, dst, piece, single = [], [], [], np.zeros(n_nodes, bool)
+        at = np.arange(n, n_nodes, dtype=np.int32)
+        state = p.begin[letter[n:]]
+        at, state = at[state > 0], state[state > 0]
+        here = at
         for d in range(p.depth):
             if d:
-                key = state << _SHIFT | char[at + d]
-                k = np.minimum(np.searchsorted(p.keys, key), len(p.keys) - 1)
-                fine = p.keys[k] == key
-                at, state = at[fine], p.next[k[fine]]
-            else:
-                state = p.begin[char]
-                at, state = np.flatnonzero(state), state[state > 0]
-            hit = p.end[state] >= 0
-            src.append(at[hit] + shift[at[hit]])
-            dst.append(at[hit] + shift[at[hit]] + d + 1)
-            piece.append(p.end[state[hit]].astype(np.int64))
+                state = p.step(state, letter[here])
+                fine = np.flatnonzero(state)
+                at, here, state = at[fine], here[fine], state[fine]
+            after, ended = down[here], p.end[state]
+            hit = np.flatnonzero(ended >= 0)
+            src.append(at[hit])
+            dst.append(after[hit])
+            piece.append(ended[hit])
             if not d:
                 single[at[hit]] = True
-            more = at + d + 1 < stop[at]
-            at, state = at[more], state[more]
-        lone = np.flatnonzero(~single)
-        src, dst = (np.concatenate(x).astype(np.int32) for x in ([*src, lone + shift[lone]], [*dst, lone + shift[lone] + 1]))
-        order = np.argsort(src, kind="stable")
-        src, self.dst = src[order], dst[order]
-        piece = np.concatenate(piece)
-        weight = np.concatenate([p.weight[piece], p.byte_weight * (1 + (char[lone] > 0x7F) + (char[lone] > 0x7FF) + (char[lone] > 0xFFFF))])[order]
-        self.piece = np.concatenate([piece, -char[lone] - 1]).astype(np.int32)[order]
-        del dst, piece, order, single, shift, char, stop
-        self.count = np.bincount(src, minlength=n_nodes)
-        self.first = np.cumsum(self.count) - self.count
-        self.offset = np.arange(n_nodes) - np.repeat(self.root, size + 1)
-        to_go = np.repeat(size, size + 1) - self.offset
+            more = np.flatnonzero(p.inner[state] & (after >= n))
+            at, here, state = at[more], after[more], state[more]
+        lone = n + np.flatnonzero(~single[n:])
+        src.append(lone)
+        dst.append(down[lone])
+        piece.append(-letter[lone] - 1)
+        self.count = np.zeros(n_nodes, np.int32)
+        for x in src:  # no node stands twice in one of them
+            self.count[x] += 1
+        n_edges = sum(map(len, src))
+        kind = np.int32 if n_edges < 1 << 31 else np.int64
+        self.first = (np.cumsum(self.count) - self.count).astype(kind)
+        self.dst, self.piece, fill = np.empty(n_edges, np.int32), np.empty(n_edges, np.int32), self.first.copy()
+        for x, y, z in zip(src, dst, piece):
+            spot = fill[x]
+            self.dst[spot], self.piece[spot] = y, z
+            fill[x] += 1
+        odd, c = spot, letter[lone]
+        self.logp = p.weight[np.maximum(self.piece, 0)]  # weights, until a level's are worked out
+        self.logp[odd] = p.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+        del src, dst, piece, single, fill, down, letter, at, here, state, lone
         suffix = np.zeros(n_nodes)
-        self.ref_edge, self.ref_log = np.full(n_nodes, -1), np.zeros(n_nodes)  # the likeliest edge, and the log probability of following those
-        by = np.argsort(to_go, kind="stable")
-        cuts = np.cumsum(np.bincount(to_go))
+        self.ref_edge, self.ref_log = np.full(n_nodes, -1, kind), np.zeros(n_nodes)  # the likeliest edge, and the log probability of following those
+        cuts = np.cumsum(wide).tolist()
         for lo, hi in zip(cuts[:-1], cuts[1:]):  # from the chunks' ends back
-            nodes = by[lo:hi]
-            edge, seg = self.edges(nodes)
-            w = weight[edge] + suffix[self.dst[edge]]
+            e0, e1 = int(self.first[lo]), int(self.first[hi]) if hi < n_nodes else n_edges
+            seg, count, dst = self.first[lo:hi] - e0, self.count[lo:hi], self.dst[e0:e1]
+            w = self.logp[e0:e1] + suffix[dst]
             top = np.maximum.reduceat(w, seg)
-            suffix[nodes] = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, self.count[nodes])), seg))
-            at_top = np.flatnonzero(w == np.repeat(top, self.count[nodes]))
-            chosen = edge[at_top[np.searchsorted(at_top, seg)]]
-            self.ref_edge[nodes] = chosen
-            self.ref_log[nodes] = np.minimum(0.0, top - suffix[nodes]) + self.ref_log[self.dst[chosen]]
-        self.logp = np.minimum(0.0, weight + suffix[self.dst] - suffix[src])
-        node, chunk, steps = self.root, np.arange(len(size)), []
+            tops = np.repeat(top, count)
+            total = top + np.log(np.add.reduceat(np.exp(w - tops), seg))
+            suffix[lo:hi] = total
+            self.logp[e0:e1] = np.minimum(0.0, w - np.repeat(total, count))
+            chosen = np.flatnonzero(w == tops)
+            if len(chosen) > len(seg):
+                chosen = chosen[np.searchsorted(chosen, seg)]
+            self.ref_edge[lo:hi] = chosen + e0
+            self.ref_log[lo:hi] = np.minimum(0.0, top - total) + self.ref_log[dst[chosen]]
+        node, chunk, steps = self.root, np.arange(n), []
+        self.ref_size = np.zeros(n, np.int64)
         while len(node):
             edge = self.ref_edge[node]
-            steps.append((chunk[edge >= 0], edge[edge >= 0]))
-            node, chunk = self.dst[edge[edge >= 0]], chunk[edge >= 0]
-        chunk, edge = (np.concatenate([x[k] for x in steps]) for k in (0, 1))
-        self.ref_edges = edge[np.argsort(chunk, kind="stable")]
-        self.ref_size = np.bincount(chunk, minlength=len(size))
+            chunk, edge = chunk[edge >= 0], edge[edge >= 0]
+            steps.append((chunk, edge))
+            self.ref_size[chunk] += 1
+            node = self.dst[edge]
         self.ref_first = np.cumsum(self.ref_size) - self.ref_size
+        self.ref_edges = np.empty(int(self.ref_size.sum()), kind)
+        for k, (chunk, edge) in enumerate(steps):
+            self.ref_edges[self.ref_first[chunk] + k] = edge
 
     def edges(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of the nodes, one node's after another's, and where each node's begin."""
         n = self.count[nodes]
-        seg = np.cumsum(n) - n
+        seg = np.cumsum(n, dtype=np.int64) - n
         return np.repeat(self.first[nodes] - seg, n) + np.arange(int(n.sum())), seg
 
 
@@ -185,7 +270,7 @@ def _other_paths(t: Lattices, start: np.ndarray, key: np.ndarray) -> tuple[np.nd
     while len(path):
         edge, seg = t.edges(node)
         n = t.count[node]
-        local = edge - np.repeat(t.first[node], n) + np.repeat(t.offset[node] << 6, n)
+        local = edge - np.repeat(t.first[node], n) + np.repeat(t.offset[node].astype(np.int64) << 6, n)
         noise = _unit(_mix(np.repeat(key[path], n) + local.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         ref = edge == np.repeat(np.where(on_ref, t.ref_edge[node], -1), n)
         with np.errstate(divide="ignore"):
@@ -332,30 +417,33 @@ def _sample_docs(t: Lattices, which: list[np.ndarray], seeds: list[int], k: int)
     return out
 
 
-def _to_ids(t: Lattices, edges: np.ndarray, p: Pieces) -> np.ndarray:
-    ids = t.piece[edges]
+def _to_ids(t: Lattices, paths: list[np.ndarray], p: Pieces) -> list[np.ndarray]:
+    """The ids of each path of edges."""
+    ids = t.piece[np.concatenate(paths)]
+    ends = np.cumsum([*map(len, paths)])
     odd = np.flatnonzero(ids < 0)
-    if not len(odd):
-        return ids.astype(np.int32)
-    parts = [p.byte[np.frombuffer(chr(-c - 1).encode("utf-8", "surrogatepass"), np.uint8)] for c in ids[odd].tolist()]
-    sizes = np.ones(len(ids), np.int64)
-    sizes[odd] = [*map(len, parts)]
-    out = np.repeat(ids, sizes).astype(np.int32)
-    spots = (np.cumsum(sizes) - sizes)[odd]
-    for s, x in zip(spots.tolist(), parts):
-        out[s : s + len(x)] = x
-    return out
-
-
-def segment(texts: list[str], keys: list, k: int, p: Pieces):
+    if len(odd):
+        chars, kind = np.unique(-ids[odd] - 1, return_inverse=True)
+        parts = [p.byte[np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8)] for c in chars.tolist()]
+        length = np.array([*map(len, parts)])
+        sizes = np.ones(len(ids), np.int64)
+        sizes[odd] = length[kind]
+        upto = np.cumsum(sizes)
+        ids = np.repeat(ids, sizes)
+        ids[_spread((upto - sizes)[odd], length[kind])] = np.concatenate(parts)[_spread((np.cumsum(length) - length)[kind], length[kind])]
+        ends = upto[ends - 1]
+    return np.split(ids, ends[:-1])
+
+
+def segment(texts: list[str] | pa.Array, keys: list, k: int, p: Pieces):
     """For each text up to ``k`` distinct sampled segmentations as (ids, log probability, perturbed
     weight, log inclusion probability), best perturbed weight first."""
-    chunks = [_CHUNKS(" " + x) if x else [] for x in texts]
-    number = {c: n for n, c in enumerate(dict.fromkeys(itertools.chain.from_iterable(chunks)))}
-    which = [np.fromiter(map(number.__getitem__, cs), np.int64, len(cs)) for cs in chunks]
-    del chunks
-    t = Lattices([*number], p) if number else None
-    del number
+    if not isinstance(texts, pa.Array):
+        texts = pa.array([x.encode("utf-8", "surrogatepass") for x in texts], pa.large_binary())
+    names, number, ends = _chunks(texts)
+    which = np.split(number, ends[:-1]) if len(ends) else []
+    t = Lattices(names, p) if names else None
+    del names
     at = 0
     while at < len(which):
         to, n = at, 0
@@ -364,16 +452,18 @@ def segment(texts: list[str], keys: list, k: int, p: Pieces):
             to += 1
         full = [i for i in range(at, to) if len(which[i])]
         found = dict(zip(full, _sample_docs(t, [which[i] for i in full], [_seed(keys[i]) for i in full], k))) if full else {}
+        paths = [edges for samples in found.values() for edges, *_ in samples[:-1]]
+        ids = iter(_to_ids(t, paths, p) if paths else [])
         for i in range(at, to):
             if i not in found:
                 yield [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
                 continue
-            *samples, left = found[i]
+            *samples, left = found.pop(i)
             rows = []
-            for edges, logp, score in samples:
+            for _, logp, score in samples:
                 x = logp - left
                 inclusion = 0.0 if x > 4 else (x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))))
-                rows.append((_to_ids(t, edges, p), logp, score, inclusion))
+                rows.append((next(ids), logp, score, inclusion))
             yield rows
         at = to
 
@@ -386,22 +476,22 @@ def sample(docs: DataFrame, model: str, k: int = 2, power: float = 1.0, id_col:
     def run(batch: pa.RecordBatch):
         p = Pieces.shared(model, power)
         for part in text_slices(batch, 1, LATTICE_CHARS):
-            rows = segment([x or "" for x in part.column(1).to_pylist()], part.column(0).to_pylist(), k, p)
-            ids, number, scores, crc, at, held = [], [], [], [], [], 0
+            rows = segment(part.column(1), part.column(0).to_pylist(), k, p)
+            ids, number, scores, at, held = [], [], [], [], 0
             for i, found in enumerate(rows):
                 for s, (x, *score) in enumerate(found):
                     ids.append(x)
                     number.append(s + 1)
                     scores.append(score)
-                    crc.append(zlib.crc32(p.decode(x.tolist())))
                     at.append(i)
                     held += len(x)
                 if held > 1_000_000 or i + 1 == part.num_rows:
-                    sizes = np.array([*map(len, ids)], np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(ids)))
+                    sizes, flat = np.array([*map(len, ids)], np.int64), np.concatenate(ids)
+                    crc = p.crcs(flat, np.cumsum(sizes))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
                     cols = [part.column(0).take(pa.array(at)), pa.array(number, pa.int32()), lists, pa.array(sizes), *(pa.array([x[c] for x in scores], pa.float64()) for c in range(3)), pa.array(crc, pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
-                    ids, number, scores, crc, at, held = [], [], [], [], [], 0
+                    ids, number, scores, at, held = [], [], [], [], 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, sample int, ids array<int>, n_tokens long, log_prob double, perturbed double, log_inclusion double, text_crc32 long")
