@@ -306,9 +306,14 @@ def _conditioned(noisy: list[float], bound: float) -> list[float]:
     return out
 
 
-def _split(t: Lattices, item: tuple, node: int, key: tuple) -> list[tuple]:
-    """The agenda entries of all other segmentations of one chunk, whose greatest perturbed weight is
-    the item's: one for each edge that leaves the path taken."""
+def _best(values: list[float], n: int) -> list[int]:
+    """Where the ``n`` greatest stand, in order; the first of equal ones."""
+    return sorted(sorted(range(len(values)), key=lambda i: -values[i])[:n])
+
+
+def _split(t: Lattices, item: tuple, node: int, key: tuple, need: int) -> list[tuple]:
+    """The ``need`` best agenda entries of all other segmentations of one chunk, whose greatest perturbed
+    weight is the item's: one for each edge that leaves the path taken."""
     value, edges, lo, hi, logp, place = item
     found = []
     for i in range(lo, hi):
@@ -319,7 +324,8 @@ def _split(t: Lattices, item: tuple, node: int, key: tuple) -> list[tuple]:
         logp += float(t.logp[taken])
         node = int(t.dst[taken])
     noisy = [w + _gumbel(*key, *at) for (w, _, _), at in zip(found, _local(t, found, lo))]
-    return [(v, np.append(edges[:i], e), w, int(t.dst[e]), place) for v, (w, i, e) in zip(_conditioned(noisy, value), found)]
+    values = _conditioned(noisy, value)
+    return [(values[j], np.append(edges[:i], e), w, int(t.dst[e]), place) for j in _best(values, need) for w, i, e in [found[j]]]
 
 
 def _local(t: Lattices, found: list[tuple], lo: int) -> list[tuple[int, int]]:
@@ -327,8 +333,8 @@ def _local(t: Lattices, found: list[tuple], lo: int) -> list[tuple[int, int]]:
     return [(i - lo, int(t.offset[t.dst[e]]) << 32 | (int(t.piece[e]) & 0xFFFFFFFF)) for _, i, e in found]
 
 
-def _finish(t: Lattices, item: tuple, key: tuple) -> tuple[np.ndarray, float, list[tuple]]:
-    """An entry's chunk completed at random: its edges, their log probability, and the siblings left."""
+def _finish(t: Lattices, item: tuple, key: tuple, need: int) -> tuple[np.ndarray, float, list[tuple]]:
+    """An entry's chunk completed at random: its edges, their log probability, and the ``need`` best siblings left."""
     value, edges, logp, node, place = item
     more, left = [], []
     while n := int(t.count[node]):
@@ -340,11 +346,12 @@ def _finish(t: Lattices, item: tuple, key: tuple) -> tuple[np.ndarray, float, li
         best = max(range(n), key=noisy.__getitem__)
         for k, e in enumerate(each):
             if k != best:
-                left.append((values[k], np.concatenate([edges, np.array([*more, e], np.int64)]), logp + float(t.logp[e]), int(t.dst[e]), place))
+                left.append((values[k], len(more), e, logp + float(t.logp[e])))
         more.append(first + best)
         logp += float(t.logp[first + best])
         node = int(t.dst[first + best])
-    return np.concatenate([edges, np.array(more, np.int64)]), logp, left
+    kept = [left[j] for j in _best([x[0] for x in left], need)]
+    return np.concatenate([edges, np.array(more, np.int64)]), logp, [(v, np.concatenate([edges, np.array([*more[:n], e], np.int64)]), w, int(t.dst[e]), place) for v, n, e, w in kept]
 
 
 def _sample_docs(t: Lattices, which: list[np.ndarray], seeds: list[int], k: int) -> list[list]:
@@ -362,12 +369,12 @@ def _sample_docs(t: Lattices, which: list[np.ndarray], seeds: list[int], k: int)
                 continue
             item = a.pop(0)
             if len(item) == 6:
-                a += _split(t, item, int(t.root[which[d][item[5]]]), (seeds[d], "split", sample, item[5]))
+                a += _split(t, item, int(t.root[which[d][item[5]]]), (seeds[d], "split", sample, item[5]), need + 1)
                 a.sort(key=lambda x: -x[0])
                 item = a.pop(0)
             value, edges, logp, node, place = item
             if node >= 0:
-                edges, logp, left = _finish(t, item, (seeds[d], "finish", sample, place))
+                edges, logp, left = _finish(t, item, (seeds[d], "finish", sample, place), need)
                 a += left
             todo.append((d, value, edges, logp, place + 1))
         if not todo:

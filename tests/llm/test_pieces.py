@@ -2,6 +2,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -75,3 +76,13 @@ def test_probabilities_are_those_of_all_segmentations():
         got = {tuple(x[0].tolist()): math.exp(x[1]) for x in rows}
         assert got.keys() == want.keys() and len(rows) == len(want)
         assert all(math.isclose(got[x], w / mass, rel_tol=1e-9) for x, w in want.items())
+
+
+def test_one_long_word_takes_memory_in_proportion():
+    p = pieces.Pieces.shared(MODEL, 1.0)
+    tracemalloc.start()
+    (rows,) = pieces.segment(["ab" * 6_000], [7], 3, p)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len({x[0].tobytes() for x in rows}) == 3 and all(p.decode(x[0].tolist()) == b"ab" * 6_000 for x in rows)
+    assert peak < 100e6, peak
